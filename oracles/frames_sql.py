@@ -124,8 +124,8 @@ _HOUSEHOLD_1 = {
         WHEN UNEM03 = 1 AND UNEM07 = 3 THEN 1.0
         WHEN UNEM04 = 1 THEN 1.0
         WHEN UNEM05 = 1 AND UNEM06 = 3 THEN 1.0
-        WHEN UNEM02 = 1 AND UNEM07 <= 2 AND UNEM08 <= 2 THEN 1.0
-        WHEN UNEM05 = 1 AND UNEM06 <= 2 AND UNEM08 <= 2 THEN 1.0 ELSE 0.0 END""",
+        WHEN UNEM02 = 1 AND UNEM07 IN (1, 2) AND UNEM08 IN (1, 2) THEN 1.0
+        WHEN UNEM05 = 1 AND UNEM06 IN (1, 2) AND UNEM08 IN (1, 2) THEN 1.0 ELSE 0.0 END""",
     "electricity_availability": """CASE WHEN LIGHT05 = 1 THEN '24 hours'
         WHEN LIGHT05_11 < 4 THEN 'Less than 4 hours'
         WHEN LIGHT05_22 < 60 THEN 'Less than 1 hour' ELSE 'No electricity' END""",
@@ -154,7 +154,7 @@ _HOUSEHOLD_1 = {
         ELSE 0.0 END""",
     "outcome13_2": """CASE WHEN INC02 = 1 AND (INC01 = 1 OR INC01 = 2 OR INC01 = 3) THEN 1.0
         ELSE 0.0 END""",
-    "outcome16_1": """CASE WHEN DWE10 <= 2 AND DWE06a_land = 1 AND DWE06a_housing = 1 THEN 1.0
+    "outcome16_1": """CASE WHEN DWE10 IN (1, 2) AND DWE06a_land = 1 AND DWE06a_housing = 1 THEN 1.0
         WHEN DWE06a_land = 0 OR DWE06a_housing = 0 OR DWE10 = 3 OR DWE10 = 4 THEN 0.0 END""",
     "outcome16_2": "CASE WHEN "
     + " OR ".join(f"SPF01{x} = 1" for x in "abcdefghjklmnop")

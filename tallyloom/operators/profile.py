@@ -104,15 +104,25 @@ def frequencies(
     """Number of rows per value of several columns, as ``(variable, level, n)``.
 
     One pass: each task keeps one counter per variable and level, and only those
-    counters are shuffled.
+    counters are shuffled.  Numbers are counted as numbers and become text at the end.
     """
-    pairs = ", ".join(
-        f"struct({quoted(c)} AS variable, CAST({c} AS STRING) AS level)" for c in columns
-    )
-    answers = frame.selectExpr(f"inline(array({pairs}))")
+    types = dict(frame.dtypes)
+    cells, texts = [], []
+    for i, c in enumerate(columns):
+        number, text = ("CAST(NULL AS DOUBLE)", f"CAST({c} AS STRING)")
+        if types[c] == "double":
+            number, text = (c, "CAST(NULL AS STRING)")
+        cells.append(f"struct({i} AS place, {number} AS number, {text} AS text)")
+        texts.append(quoted(c))
+    answers = frame.selectExpr(f"inline(array({', '.join(cells)}))")
     if skip_missing:
-        answers = answers.where("level IS NOT NULL")
-    return answers.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))
+        answers = answers.where("number IS NOT NULL OR text IS NOT NULL")
+    counts = answers.groupBy("place", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    return counts.selectExpr(
+        f"get(array({', '.join(texts)}), place) AS variable",
+        "coalesce(text, CAST(number AS STRING)) AS level",
+        "n",
+    )
 
 
 def two_way_frequency(

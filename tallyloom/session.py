@@ -6,12 +6,17 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# A generated method above 8000 bytes is never compiled by the JVM and runs many
-# times slower, so wider stages fall back to Spark's split expressions.  A wide
-# aggregate has more than the 100 columns at which generation is given up by default.
 SETTINGS = {
+    # A generated method above 8000 bytes is never compiled by the JVM and runs many
+    # times slower, so wider stages fall back to Spark's split expressions.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A wide aggregate has more than the 100 columns at which generation is given up.
     "spark.sql.codegen.maxFields": "400",
+    # Joined rows are narrow but fan out into many expressions, so a partition is
+    # heavy long before it reaches the default 256 MB: split skewed ones earlier.
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8MB",
 }
 
 
