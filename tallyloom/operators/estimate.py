@@ -179,10 +179,17 @@ class _Pass:
         """Records per request, group and stratum when all requests share their domain."""
         over = "PARTITION BY stratum" if self.strata else ""
         inside = self._inside(self.wheres[0])
+        order = ", ".join([f"NOT {inside}", *self.keys])
+        first = f"row_number() OVER ({over} ORDER BY {order}) = 1"
+        sized = self._sums().selectExpr(
+            "*", f"sum(n) OVER ({over}) AS n_h", f"CAST({first} AS INT) AS strata"
+        )
         cells = ", ".join(_struct(self._cell(i, r)) for i, r in enumerate(self.requests))
-        sized = self._sums().selectExpr("*", f"sum(n) OVER ({over}) AS n_h")
         return sized.where(inside).selectExpr(
-            *self.keys, *self.strata, "n", "n AS units", "n_h", f"inline(array({cells}))"
+            *self.keys,
+            *self.strata,
+            *["n", "n AS units", "n_h", "strata"],
+            f"inline(array({cells}))",
         )
 
     def _mixed_cells(self) -> DataFrame:
@@ -222,8 +229,14 @@ class _Pass:
             sums += [f"sum({text}) AS {x}" for x, text in products.items()]
             strata = _aggregate(units, group, [*sums, "count_if(first) AS units"])
         over = "PARTITION BY stratum" if self.strata else ""
+        peers = ", ".join([*self.strata, "request"])
+        order = ", ".join(self.keys) or "request"
+        first = f"row_number() OVER (PARTITION BY {peers} ORDER BY {order}) = 1"
         size = "sum(CASE WHEN request = -1 THEN units END)"
-        return strata.selectExpr("*", f"{size} OVER ({over}) AS n_h").where("request >= 0")
+        sized = strata.selectExpr(
+            "*", f"{size} OVER ({over}) AS n_h", f"CAST({first} AS INT) AS strata"
+        )
+        return sized.where("request >= 0")
 
     def _spread(self, xy: str, x: str, y: str) -> str:
         """Between-unit (co)variance of the stratum totals x and y."""
@@ -245,15 +258,10 @@ class _Pass:
         }
         sums = {x: x for x in ["n", "w", "a", "b", "units"]} | spread
         named = [f"{text} AS {x}" for x, text in sums.items() if text != x]
+        out = strata.selectExpr("*", *named)
         if self.strata:
-            order = ", ".join(self.keys) or "request"
-            first = f"row_number() OVER (PARTITION BY stratum, request ORDER BY {order})"
-            strata = strata.selectExpr("*", *named, f"CAST({first} = 1 AS INT) AS strata")
             totals = [f"sum({x}) AS {x}" for x in [*sums, "strata"]]
-            out = _aggregate(strata, ["request", *self.keys], totals)
-        else:
-            first = "row_number() OVER (PARTITION BY request ORDER BY request)"
-            out = strata.selectExpr("*", *named, f"CAST({first} = 1 AS INT) AS strata")
+            out = _aggregate(out, ["request", *self.keys], totals)
         return out.selectExpr(
             "request",
             *[f"{k} AS {c}" for k, c in zip(self.keys, self.by)],
@@ -438,15 +446,10 @@ def indicator_tables(
         places.append(len(requests))
         requests += [_Request(m, tuple(t.by), t.where, w) for m in measures]
     one_pass = _Pass(design, requests)
-    item = _choice([str(i) for i, t in enumerate(tables) for _ in range(_parts(t))])
-    first = _choice([str(int(p in places)) for p in range(len(requests))])
-    parts = ["n", "w", "v_w", "a", "v_a", "b", "v_b", "c_ab", "df"]
     by = one_pass.by
-    pairs = one_pass.groups().selectExpr(*by, f"{item} AS request", f"{first} AS first", *parts)
-    sums = [f"max(CASE WHEN first = 1 THEN {x} END) AS {x}" for x in parts]
-    base = ["a", "v_a", "b", "v_b"]
-    sums += [f"max(CASE WHEN first = 0 THEN {x} END) AS base_{x}" for x in base]
-    wide = _aggregate(pairs, ["request", *by], sums)
+    wide = one_pass.groups()
+    if len(requests) > len(tables):
+        wide = _beside(wide, by, tables, [int(p in places) for p in range(len(requests))])
     none = "CAST(NULL AS DOUBLE)"
     columns: dict[str, list[str]] = {}
 
@@ -484,8 +487,19 @@ def indicator_tables(
     )
 
 
-def _parts(table: MeanTable | RatioTable) -> int:
-    return 1 if isinstance(table, MeanTable) else 2
+def _beside(
+    groups: DataFrame, by: Sequence[str], tables: Sequence[MeanTable | RatioTable], first: list[int]
+) -> DataFrame:
+    """Both totals of a ratio in one record, and the table's number as ``request``."""
+    sizes = [1 if isinstance(t, MeanTable) else 2 for t in tables]
+    item = _choice([str(i) for i, size in enumerate(sizes) for _ in range(size)])
+    parts = ["n", "w", "v_w", "a", "v_a", "b", "v_b", "c_ab", "df"]
+    is_first = _choice([str(x) for x in first])
+    pairs = groups.selectExpr(*by, f"{item} AS request", f"{is_first} AS first", *parts)
+    sums = [f"max(CASE WHEN first = 1 THEN {x} END) AS {x}" for x in parts]
+    base = ["a", "v_a", "b", "v_b"]
+    sums += [f"max(CASE WHEN first = 0 THEN {x} END) AS base_{x}" for x in base]
+    return _aggregate(pairs, ["request", *by], sums)
 
 
 def _switch(texts: Sequence[str]) -> str:
