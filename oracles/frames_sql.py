@@ -218,7 +218,8 @@ _PERSON_1 = {
     "age_secondary": "CASE WHEN HH07 >= 11 AND HH07 <= 18 THEN 1.0 END",
     "birthCertificate": "CASE WHEN REG03 = 0 OR REG03 = 98 THEN 0.0 WHEN REG03 = 1 THEN 1.0 END",
     "birthRegistered": "CASE WHEN REG04 = 0 OR REG04 = 98 THEN 0.0 WHEN REG04 = 1 THEN 1.0 END",
-    "document_under5": f"CASE WHEN {_any(_YOUNG)} THEN 1.0 WHEN {_all(_YOUNG, '<> 1')} THEN 0.0 END",
+    "document_under5": f"CASE WHEN {_any(_YOUNG)} THEN 1.0"
+    f" WHEN {_all(_YOUNG, '<> 1')} THEN 0.0 END",
     "document_above5": f"CASE WHEN {_any(_OLD)} THEN 1.0 WHEN {_all(_OLD, '<> 1')} THEN 0.0 END",
     "document_under5_strict": f"CASE WHEN {_any(_YOUNG)} THEN 1.0"
     f" WHEN {_all(_YOUNG, '= 0')} THEN 0.0 END",

@@ -8,9 +8,9 @@ from oracles.frames_sql import text, with_frames
 from oracles.tables_sql import (
     distribution_sql,
     mean_sql,
-    ratio_sql,
     rounded,
     shares_sql,
+    t_quantile,
     table_sql,
 )
 from tallyloom.operators.estimate import MeanTable, RatioTable
@@ -109,10 +109,15 @@ def _agd() -> str:
 def _headline() -> str:
     parts = ["SELECT 'households' AS name, count(*) AS n FROM main"]
     parts.append("SELECT 'persons', count(*) FROM ind")
-    asked = [("main", "pop_groups", GROUPS), ("ind", "HH04", GENDERS), ("ind", "HH07_cat2", AGE_BANDS)]
+    asked = [
+        ("main", "pop_groups", GROUPS),
+        ("ind", "HH04", GENDERS),
+        ("ind", "HH07_cat2", AGE_BANDS),
+    ]
     for table, column, values in asked:
         for name, value in values.items():
-            parts.append(f"SELECT {text(name)}, count(*) FROM {table} WHERE {column} = {text(value)}")
+            where = f"{column} = {text(value)}"
+            parts.append(f"SELECT {text(name)}, count(*) FROM {table} WHERE {where}")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -177,8 +182,6 @@ FROM est JOIN var USING (pop_groups) CROSS JOIN (SELECT QUANTILE AS q FROM free)
 
 
 def _clustered() -> str:
-    from oracles.tables_sql import t_quantile
-
     return _CLUSTERED.replace("QUANTILE", t_quantile("df"))
 
 
@@ -222,7 +225,9 @@ _WRAPPED = {
     "In the dwelling/yard/plot": "In the\ndwelling/yard/plot",
     "Improved sanitation facility": "Improved sanitation\nfacility",
     "Safe disposal in situ of excreta": "Safe disposal in\nsitu of excreta",
-    "Toilet is not shared with other households": "Toilet is not shared\nwith other\nhouseholds",
+    "Toilet is not shared with other households": (
+        "Toilet is not shared\nwith other\nhouseholds"
+    ),
     "Health facility too far": "Health facility too\nfar",
     "Medicine or health facility too expensive": "Medicine or health\nfacility too\nexpensive",
     "No treatment exists/Not necessary": "No treatment\nexists/Not necessary",
@@ -262,14 +267,12 @@ WHERE (SELECT count(*) FROM ind) > 0"""
 
 
 def _value_labels() -> str:
-    rows = []
-    for name in ["impact2_2", "outcome4_1", "outcome16_2"]:
-        for label, value in book.YES_NO.items():
-            rows.append(
-                f"SELECT {text(name)} AS variable, {text(book.INDICATORS[name])} AS label,"
-                f" {text(label)} AS value_label, CAST({value} AS DOUBLE) AS value"
-            )
-    return "\nUNION ALL\n".join(rows)
+    parts = [
+        f"SELECT {text(c)} AS variable, CASE {c} WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END AS level,"
+        f" count(*) AS n FROM main WHERE {c} IS NOT NULL GROUP BY {c}"
+        for c in ["impact2_2", "outcome4_1", "outcome16_2"]
+    ]
+    return "\nUNION ALL\n".join(parts)
 
 
 def _error_bars(means: str, by: str) -> str:
@@ -307,6 +310,10 @@ def _plain_sql() -> dict[str, str]:
             CASE DWE10 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 99 THEN 5
             END AS ord FROM main""",
         "relabel_wrap": _relabel_wrap(),
+        "value_labels": _value_labels(),
+        "column_types": """SELECT 'outcome13_3' AS variable, 'double' AS type,
+            count(outcome13_3) AS n FROM main
+            UNION ALL SELECT 'pop_groups', 'string', count(pop_groups) FROM ind""",
         "mean_in_domain": _mean(
             "outcome9_2", ["pop_groups"], "HH04 = 'Female'", "wgh_samp_pop_restr", "samp_strat"
         ),
@@ -399,7 +406,4 @@ def _raw_sql() -> dict[str, str]:
 ORACLES: dict[str, str] = {
     **{name: with_frames(sql) for name, sql in _plain_sql().items()},
     **{name: with_frames(sql, recoded=False) for name, sql in _raw_sql().items()},
-    "value_labels": _value_labels(),
-    "column_types": """SELECT 'outcome13_3' AS variable, 'double' AS type
-        UNION ALL SELECT 'pop_groups', 'string'""",
 }

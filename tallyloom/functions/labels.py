@@ -51,11 +51,7 @@ def read_labels(frame: DataFrame, name: str) -> tuple[str | None, dict[str, floa
     return meta.get("label"), dict(meta.get("labels", {}))
 
 
-def label_frame(frame: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Value labels of columns as rows ``(variable, label, value_label, value)``."""
-    rows = []
-    for name in names:
-        label, values = read_labels(frame, name)
-        rows += [(name, label, text, float(v)) for text, v in values.items()]
-    schema = "variable string, label string, value_label string, value double"
-    return frame.sparkSession.createDataFrame(rows, schema)
+def value_label(frame: DataFrame, name: str) -> str:
+    """Label of a labelled column's value, from its metadata; NULL where it has none."""
+    _, values = read_labels(frame, name)
+    return _lookup(((f"{float(v)}D", quoted(text)) for text, v in values.items()), name)

@@ -35,10 +35,6 @@ class SurveyDesign:
             if name is not None and name not in self.frame.columns:
                 raise ValueError(f"no column {name!r} in the design frame")
 
-    def weighted_by(self, weight: str | None) -> SurveyDesign:
-        """The same sample under another weight."""
-        return replace(self, weight=weight)
-
     def derive(self, **columns: str) -> SurveyDesign:
         """The same design with derived columns, given as SQL expressions."""
         kept = [c for c in self.frame.columns if c not in columns]

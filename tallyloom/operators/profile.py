@@ -139,10 +139,13 @@ def two_way_frequency(
 
 
 def column_types(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Name and Spark type of columns, as rows."""
+    """Spark type of columns and how many rows have a value, one row per column."""
     types = dict(frame.dtypes)
-    rows = [(c, types[c]) for c in columns]
-    return frame.sparkSession.createDataFrame(rows, "variable string, type string")
+    counts = frame.agg(*[F.count(c).alias(c) for c in columns])
+    cells = ", ".join(
+        f"struct({quoted(c)} AS variable, {quoted(types[c])} AS type, {c} AS n)" for c in columns
+    )
+    return counts.selectExpr(f"inline(array({cells}))")
 
 
 def sample_description(

@@ -228,9 +228,7 @@ def _plain() -> dict[str, Spec]:
 def _options(grain, labels, names_to, by=(), **options) -> Shares:
     """Shares of "yes" in a multiple-choice question."""
     columns = options.pop("columns", list(labels))
-    return Shares(
-        grain, columns, by, names_to, "Percentage", labels, equals=options.pop("equals", 1), **options
-    )
+    return Shares(grain, columns, by, names_to, "Percentage", labels, equals=1, **options)
 
 
 def _report() -> dict[str, Spec]:

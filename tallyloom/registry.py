@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.functions.codes import num
 from tallyloom.functions.labels import (
     code_label,
-    label_frame,
     number_label,
     number_order,
     relabel,
+    value_label,
 )
 from tallyloom.functions.text import wrap_words
 from tallyloom.operators import charts
@@ -183,7 +183,10 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def rounded(frame: DataFrame) -> DataFrame:
     """Fractions rounded, so that engines which add in another order agree."""
     return frame.selectExpr(
-        *[f"round(`{c}`, {DIGITS}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in frame.dtypes]
+        *[
+            f"round(`{c}`, {DIGITS}) AS `{c}`" if t == "double" else f"`{c}`"
+            for c, t in frame.dtypes
+        ]
     )
 
 
@@ -238,8 +241,11 @@ def _relabel_wrap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _value_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers counted under the value labels kept with their column."""
     labelled = with_indicator_labels(frames(spark, sf)[HOUSEHOLD])
-    return label_frame(labelled, ["impact2_2", "outcome4_1", "outcome16_2"])
+    names = ["impact2_2", "outcome4_1", "outcome16_2"]
+    shown = labelled.selectExpr(*[f"{value_label(labelled, n)} AS {n}" for n in names])
+    return frequencies(shown, names)
 
 
 def _design(spark: SparkSession, sf: str, grain: str, **options) -> SurveyDesign:

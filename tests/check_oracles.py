@@ -58,8 +58,11 @@ def compare(frame: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str |
     order = [d[0] for d in result.description]
     if sorted(order) != names:
         return f"columns {names} != {sorted(order)}"
-    kinds = {n: (KINDS.get(types[n], types[n]), KINDS.get(wanted_types[n], wanted_types[n])) for n in names}
-    bad = {n: k for n, k in kinds.items() if k[0] != k[1]}
+    bad = {
+        n: (types[n], wanted_types[n])
+        for n in names
+        if KINDS.get(types[n], types[n]) != KINDS.get(wanted_types[n], wanted_types[n])
+    }
     if bad:
         return f"types {bad}"
     places = [order.index(n) for n in names]
@@ -97,7 +100,8 @@ def main(sf_dir: str, parts: list[str]) -> int:
             problem = f"{type(error).__name__}: {str(error)[:700]}"
         if problem:
             failed += 1
-        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
+        state = "FAIL" if problem else "ok  "
+        print(f"{state} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
     print(f"{failed} failed of {len(contract.queries())}")
     return failed
 

@@ -92,7 +92,7 @@ def test_one_scan_per_base_table_and_no_python(spark, sf_dir):
     plan = _plan(contract.queries()["combined_by_stratum"](spark, sf_dir))
     # households, plus the EXISTS check of one rule; persons and their households
     assert plan.count("FileScan parquet") <= 4
-    for bad in ["CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"]:
+    for bad in ["CartesianProduct", "NestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"]:
         assert bad not in plan
 
 

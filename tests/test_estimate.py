@@ -261,3 +261,11 @@ def test_t_quantiles(spark):
     assert got.pop(0) is None
     for df, q in PUBLISHED.items():
         assert got[df] == pytest.approx(q, abs=6e-7)
+
+
+def test_a_row_without_weight_is_sampled_with_weight_zero(frame):
+    some = F.when(F.col("u") > 3, F.col("w"))
+    gaps = mean_table(SurveyDesign(frame.withColumn("w", some), "w", "h"), "y", []).first()
+    zeros = F.coalesce(some, F.lit(0.0))
+    filled = mean_table(SurveyDesign(frame.withColumn("w", zeros), "w", "h"), "y", []).first()
+    assert gaps == filled and gaps.num_obs_uw == 400

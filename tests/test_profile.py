@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import pytest
 
-from tallyloom.functions.labels import attach_labels, code_label, read_labels, relabel
+from tallyloom.functions.labels import (
+    attach_labels,
+    code_label,
+    read_labels,
+    relabel,
+    value_label,
+)
 from tallyloom.functions.text import percent_label, rounded_percent_label, wrap_words
 from tallyloom.operators import charts
 from tallyloom.operators.profile import (
+    column_types,
     columns_between,
     columns_starting_with,
     component_shares,
@@ -145,6 +152,14 @@ def test_labels_stay_with_their_column(frame):
     kept = labelled.where("x = 1").selectExpr("x")
     assert read_labels(kept, "x") == ("An answer", {"Yes": 1.0})
     assert read_labels(frame, "x") == (None, {})
+    shown = labelled.selectExpr(f"{value_label(labelled, 'x')} AS v").collect()
+    assert [r.v for r in shown] == ["Yes", None, None, "Yes", None]
+
+
+def test_column_types(frame):
+    rows = rows_of(column_types(frame, ["g", "code"]), "variable")
+    assert (rows["g"].type, rows["g"].n) == ("string", 4)
+    assert (rows["code"].type, rows["code"].n) == ("double", 4)
 
 
 def test_chart_frames(spark):
