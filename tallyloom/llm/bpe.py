@@ -13,7 +13,7 @@ it where the package of public tokenizers is installed.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; strings
 of special tokens inside a text are those tokens, as the tokenizers library has it;
-characters with no symbol are dropped, as there is no unknown token; repeated rows each get
+repeated rows each get
 their result; an empty table gives none; other columns are not read.
 """
 
@@ -22,8 +22,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import regex
@@ -35,6 +38,11 @@ CACHE_WORDS = 400_000
 # white space as Unicode defines it
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# letters and numbers of Latin-1
+LATIN_LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+LATIN_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_PLAIN = re.compile(r"[\x00-\xff]*").fullmatch
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -78,14 +86,15 @@ class Vocabulary:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        #: (left id, right id): (rank, merged id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
-        self.pair_of = {rank: pair for pair, (rank, _) in self.merges.items()}
+        #: left id, right id and merged id of each rank
+        self.rules = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in model["merges"]]
+        self.base = len(self.ids)
+        keys = np.array([a * self.base + b for a, b, _ in self.rules], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
         symbols = byte_symbols()
-        self.inner = [self.ids.get(s) for s in symbols]
-        self.last = [self.ids.get(s + self.suffix) for s in symbols]
+        self.inner = np.array([self.ids[s] for s in symbols], np.int64)
+        self.last = np.array([self.ids[s + self.suffix] for s in symbols], np.int64)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         for old, new in (
@@ -95,118 +104,128 @@ class Vocabulary:
         ):
             pattern = pattern.replace(old, new)
         self.words = regex.compile(pattern, regex.V1)
+        # the same over Latin-1, with its letters and numbers written out
+        pattern = split["pattern"]["Regex"].replace(r"\s", SPACE)
+        pattern = pattern.replace(r"\p{L}", LATIN_LETTERS).replace(r"\p{N}", LATIN_NUMBERS)
+        self.plain_words = re.compile(pattern)
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
-    def pieces(self, text: str) -> Iterator[str | int]:
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, -1 for pairs without a rule or with no second symbol."""
+        key = np.where(right >= 0, left * self.base + right, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.order[at], -1)
+
+    def pieces(self, text: str) -> list[str | int]:
         """Pre-tokens in order; special tokens as ids.
 
         Special tokens are found in the raw text; between them it is composed, its white space
         separates, and it is put in lower case letter by letter.
         """
+        found: list[str | int] = []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
-                yield self.special[part]
+                found.append(self.special[part])
             elif part:
                 part = part if part.isascii() else unicodedata.normalize("NFC", part)
                 # lower() alone turns a capital sigma by its place in a word
-                yield from self.words.findall(part.replace("Σ", "σ").lower())
+                part = part.replace("Σ", "σ").lower()
+                words = self.plain_words if _PLAIN(part) else self.words
+                found += words.findall(part)
+        return found
 
 
 def encode_words(words: list[str], v: Vocabulary) -> list[list[int]]:
     """Ids of each word, through one pair occurrence index over all of them.
 
-    ``sym`` holds the symbols; merged-away places hold -1.  ``prev`` and ``next`` link the
-    live places of a word.
+    ``sym`` holds the symbols, -1 where a symbol was merged away; ``prev`` and ``next`` link
+    the live places of a word, with one place past the end for none.
     """
-    sym: list[int] = []
-    starts: list[int] = []
-    before: list[int] = []
-    after: list[int] = []
-    for word in words:
-        starts.append(len(sym))
-        data = word.encode("utf-8")
-        ids = [v.inner[b] for b in data[:-1]] + [v.last[b] for b in data[-1:]]
-        ids = [i for i in ids if i is not None]
-        at = len(sym)
-        sym += ids
-        before += [-1, *range(at, at + len(ids) - 1)][: len(ids)]
-        after += [*range(at + 1, at + len(ids)), -1][: len(ids)]
-    starts.append(len(sym))
-
-    merges = v.merges
-    places: dict[int, list[int]] = {}
-    for i, j in enumerate(after):
-        if j >= 0:
-            found = merges.get((sym[i], sym[j]))
-            if found:
-                places.setdefault(found[0], []).append(i)
-    ranks = list(places)
-    heapq.heapify(ranks)
-    while ranks:
-        rank = heapq.heappop(ranks)
-        at = places.pop(rank, None)
-        if not at:
+    data = [w.encode("utf-8") for w in words]
+    sizes = np.array([len(d) for d in data], np.int64)
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    last = np.cumsum(sizes) - 1
+    sym = np.append(v.inner[flat], -1)
+    sym[last] = v.last[flat[last]]
+    none = len(flat)
+    next_, prev = np.arange(1, none + 2), np.arange(-1, none)
+    next_[last] = none
+    prev[last - sizes + 1] = none
+
+    places: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def note(at: np.ndarray) -> None:
+        """List the places whose pairs have a rank under it."""
+        rank = v.ranks(sym[at], sym[next_[at]])
+        known = rank >= 0
+        at, rank = at[known], rank[known]
+        if not len(at):
+            return
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank)) + 1
+        for r, some in zip(rank[np.r_[0, cuts]].tolist(), np.split(at, cuts), strict=True):
+            if r in places:
+                places[r].append(some)
+            else:
+                places[r] = [some]
+                heapq.heappush(heap, r)
+
+    note(np.arange(none))
+    while heap:
+        rank = heapq.heappop(heap)
+        listed = places.pop(rank)
+        left, right, made = v.rules[rank]
+        at = listed[0] if len(listed) == 1 else np.unique(np.concatenate(listed))
+        at = at[(sym[at] == left) & (sym[next_[at]] == right)]
+        if left == right and len(at) > 1:
+            at = _apart(at, next_)
+        if not len(at):
             continue
-        a, b = v.pair_of[rank]
-        made = merges[a, b][1]
-        at.sort()
-        for i in at:
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue  # an overlapping or earlier merge took the place
-            sym[i], sym[j] = made, -1
-            k = after[j]
-            after[i] = k
-            if k >= 0:
-                before[k] = i
-                found = merges.get((made, sym[k]))
-                if found:
-                    _note(places, ranks, found[0], i)
-            h = before[i]
-            if h >= 0:
-                found = merges.get((sym[h], made))
-                if found:
-                    _note(places, ranks, found[0], h)
-    return [
-        [s for s in sym[a:b] if s >= 0] for a, b in zip(starts[:-1], starts[1:], strict=True)
-    ]
-
-
-def _note(places: dict, ranks: list, rank: int, at: int) -> None:
-    listed = places.get(rank)
-    if listed is None:
-        places[rank] = [at]
-        heapq.heappush(ranks, rank)
-    else:
-        listed.append(at)
-
-
-def encode_texts(texts: list[str], v: Vocabulary, known: dict[str, list[int]]) -> Iterator[list[int]]:
+        gone = next_[at]
+        after = next_[gone]
+        sym[at], sym[gone] = made, -1
+        next_[at], prev[after] = after, at
+        before = prev[at]
+        note(np.unique(np.concatenate([at, before[before < none]])))
+    live = sym[:none] >= 0
+    ids = sym[:none][live].tolist()
+    ends = np.cumsum(live)[last].tolist()
+    return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _apart(at: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    """Of overlapping pairs of one symbol with itself, those that a pass from the left takes."""
+    kept, taken = [], -1
+    for i, j in zip(at.tolist(), next_[at].tolist(), strict=True):
+        if i != taken:
+            kept.append(i)
+            taken = j
+    return np.array(kept, np.int64)
+
+
+def encode_texts(texts: list[str], v: Vocabulary, known: dict) -> Iterator[list[int]]:
     """Ids of each text; ``known`` keeps the words of earlier calls."""
-    cut = [list(v.pieces(t)) for t in texts]
-    new = list({p: None for pieces in cut for p in pieces if isinstance(p, str) and p not in known})
-    if len(known) + len(new) > CACHE_WORDS:
+    cut = [v.pieces(t) for t in texts]
+    every = set().union(*cut)
+    if len(known) + len(every) > CACHE_WORDS:
         known.clear()
-        new = list({p: None for pieces in cut for p in pieces if isinstance(p, str)})
-    known.update(zip(new, encode_words(new, v), strict=True))
+    known.update((i, [i]) for i in v.special.values())
+    new = [p for p in every if p not in known]
+    if new:
+        known.update(zip(new, encode_words(new, v), strict=True))
     for pieces in cut:
-        ids: list[int] = []
-        for p in pieces:
-            if isinstance(p, str):
-                ids += known[p]
-            else:
-                ids.append(p)
-        yield ids
+        yield list(chain.from_iterable(map(known.__getitem__, pieces)))
 
 
 def decode(ids, v: Vocabulary) -> str:
-    """Token strings joined by blanks: the file names no decoder; unknown ids are skipped."""
-    names = v.names
-    return " ".join([names[i] for i in ids if i in names])
+    """Token strings joined by blanks, as the file names no decoder."""
+    return " ".join(map(v.names.__getitem__, ids))
 
 
-def _chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+def _chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, so that token lists stay small."""
     run, size = [], 0
     for t in texts:
@@ -239,7 +258,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", with
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             for chunk in _chunks(texts):
                 for ids in encode_texts(chunk, v, known):
-                    raw = np.array(ids, "<u4").tobytes()
+                    raw = np.array(array("I", ids), "<u4").tobytes()
                     out["ids"].append(raw if with_ids else None)
                     out["n_tokens"].append(len(ids))
                     out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
