@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, chat, crf, hmm, secret_scan, sharding, topk
+from tallyloom.llm import bpe, chat, crf, hmm, minhash, secret_scan, sharding, topk
 
 QUERIES = {
+    "op1_hyperminhash": minhash.op1_hyperminhash,
     "op2_jump_sharding": sharding.op2_jump_sharding,
     "op3_hmm_score": hmm.op3_hmm_score,
     "op4_exact_topk": topk.op4_exact_topk,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_hyperminhash": minhash.ORACLE,
     "op4_exact_topk": topk.ORACLE,
     "op9_secret_scan": secret_scan.ORACLE,
 }
