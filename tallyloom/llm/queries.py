@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, chat, crf, hmm, minhash, secret_scan, sharding, topk
+from tallyloom.llm import bpe, chat, crf, hmm, minhash, secret_scan, sharding, suffix, topk
 
 QUERIES = {
     "op1_hyperminhash": minhash.op1_hyperminhash,
     "op2_jump_sharding": sharding.op2_jump_sharding,
     "op3_hmm_score": hmm.op3_hmm_score,
     "op4_exact_topk": topk.op4_exact_topk,
+    "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op7_crf_toxicity": crf.op7_crf_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
