@@ -243,8 +243,10 @@ ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", with_ids: bool = False) -> DataFrame:
     """``keep`` columns plus counts and digests, and the ids themselves with ``with_ids``."""
-    kept = docs.select(*[f"`{c}`" for c in keep], docs[f"`{text}`"].alias("_body"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema]
+    columns = keep if text in keep else [*keep, text]
+    kept = docs.select(*[f"`{c}`" for c in columns])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep]
+    body = columns.index(text)
     schema = ", ".join([*fields, *(["ids binary"] if with_ids else []), ENCODED])
 
     newer = newer_characters(path)
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", with
         v, known = Vocabulary(path, newer), {}
         for batch in batches:
             out: dict[str, list] = {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            texts = [t or "" for t in batch.column(body).to_pylist()]
             for chunk in _chunks(texts):
                 for ids in encode_texts(chunk, v, known):
                     raw = np.array(array("I", ids), "<u4").tobytes()

@@ -352,15 +352,17 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]
 
 def apply_model(docs: DataFrame, model: Model, keep: list[str], with_spans: bool = False) -> DataFrame:
     """``keep`` columns, ``score`` and, if asked for, ``spans`` of every row."""
-    kept = docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("_body"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_body"]
+    columns = keep if "text" in keep else [*keep, "text"]
+    kept = docs.select(*[f"`{c}`" for c in columns])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep]
+    body = columns.index("text")
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
         scorer = Scorer(model.weights if model.weights is not None else np.zeros(SIZE + 7))
         for batch in batches:
             scores, found = [], []
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            texts = [t or "" for t in batch.column(body).to_pylist()]
             for text, p in zip(texts, scorer.marginals(texts), strict=True):
                 scores.append(model.score(p))
                 if with_spans:

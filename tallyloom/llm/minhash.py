@@ -8,8 +8,8 @@ A document's set holds its distinct five-word shingles.
    full sketches and every register agrees with the probability of the sets' similarity.
 2. Classes.  Documents with equal sets form one class; its smallest doc_id stands for it, so
    copies need no pairs.
-3. Bands.  ``ROWS`` compressed registers make a band; ``BUCKETS / ROWS`` bands.  Two sets of
-   similarity 0.85 share none with a probability of about 2e-7.
+3. Bands.  Some compressed registers make a band, as many as let two sets at the threshold
+   share no band with a probability of at most ``MISSED`` (8 registers for 0.85: 2e-7).
 4. First pass.  In every band bucket each class is paired with the smallest class only, so a
    bucket of any size gives one pair a member.  The pairs' collision-corrected Jaccard
    estimates drop what is far below the threshold (six standard deviations), and the rest is
@@ -42,8 +42,7 @@ from tallyloom.llm.common import Scratch, table, words
 
 WIDTH = 5
 BUCKETS = 384
-ROWS = 8
-BANDS = BUCKETS // ROWS
+MISSED = 1e-5
 MANTISSA = 10
 #: Links are 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -121,7 +120,13 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (same - chance) / (1 - chance)
 
 
-def _sketches(batches):
+def band_rows(percent: int) -> int:
+    """Registers of a band: the most that keep the chance of a missed pair at the threshold."""
+    s = percent / 100
+    return max([1, *(r for r in range(1, BUCKETS + 1) if (1 - s**r) ** (BUCKETS // r) <= MISSED)])
+
+
+def _sketches(batches, band: int):
     known: dict[bytes, int] = {}
     for batch in batches:
         rows: list[list] = [[], [], [], []]
@@ -133,7 +138,7 @@ def _sketches(batches):
             rows[1].append(hashlib.md5(items.tobytes()).digest() if len(items) else None)
             registers = sketch(items) if len(items) else None
             rows[2].append(None if registers is None else registers.tobytes())
-            rows[3].append(None if registers is None else [int(x) for x in _bands(registers)])
+            rows[3].append(None if registers is None else _bands(registers, band).tolist())
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
@@ -141,19 +146,21 @@ def _sketches(batches):
         )
 
 
-def _bands(registers: np.ndarray) -> np.ndarray:
+def _bands(registers: np.ndarray, band: int) -> np.ndarray:
     """A key for each band, different between bands."""
-    parts = registers.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
+    count = len(registers) // band
+    parts = registers[: count * band].reshape(count, band).astype(np.uint64)
+    keys = np.arange(count, dtype=np.uint64)
+    for i in range(band):
         keys = mixed(keys * _WORD_SEED + parts[:, i] + np.uint64(1))
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, print, registers, bands) of every row; nulls for empty sets."""
+    band = band_rows(percent)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketches, "doc_id long, n long, print binary, registers binary, bands array<long>"
+        lambda batches: _sketches(batches, band), "doc_id long, n long, print binary, registers binary, bands array<long>"
     )
 
 
@@ -288,7 +295,7 @@ def _fits(percent: int):
 def cluster(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of (doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = scratch.save(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = scratch.save(sketches(docs, percent).withColumn("row", F.monotonically_increasing_id()), "sketches")
     full = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     heads = full.groupBy("print").agg(F.min(F.struct("doc_id", "row")).alias("h"))
     heads = heads.select("print", F.col("h.doc_id").alias("head"), F.col("h.row").alias("row"))

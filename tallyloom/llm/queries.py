@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, chat, crf, hmm, minhash, secret_scan, sharding, suffix, topk
+from tallyloom.llm import bpe, chat, crf, decontam, hmm, minhash, secret_scan, sharding, suffix, topk
 
 QUERIES = {
     "op1_hyperminhash": minhash.op1_hyperminhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op7_crf_toxicity": crf.op7_crf_toxicity,
+    "op8_decontaminate": decontam.op8_decontaminate,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_bpe": bpe.op10_bpe,
 }
