@@ -51,34 +51,43 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-def newer_characters(path: str) -> str:
-    """Letters and numbers of the regex module that the tokenizers library has as neither.
+def newer_characters(path: str) -> tuple[str, dict[int, str]]:
+    """What the tokenizers library knows of characters that Python's own tables lack.
 
-    The two know different versions of Unicode.  Of the characters that Python's own, oldest
-    tables lack, the library is asked.  Given as ranges for a character class.
+    The regex module, Python and the library know different versions of Unicode.  Gives the
+    letters and numbers of the regex module that the library has as neither, as ranges for a
+    character class, and the lower-case forms that only the library knows.  The order of a few
+    recently added combining marks still follows Python's tables.
     """
     from tokenizers import Tokenizer
 
-    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    library = Tokenizer.from_file(path)
+    cut, put = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     ranges: list[list[int]] = []
+    lower: dict[int, str] = {}
     for c in regex.findall(r"[\p{L}\p{N}]", every):
+        if unicodedata.category(c) != "Cn":
+            continue
+        if put(c) != c:
+            lower[ord(c)] = put(c)
         # a sign and a letter or number are two pieces, two signs are one
-        if unicodedata.category(c) == "Cn" and len(cut("&" + c)) == 1:
+        if len(cut("&" + c)) == 1:
             if ranges and ord(c) == ranges[-1][1] + 1:
                 ranges[-1][1] += 1
             else:
                 ranges.append([ord(c), ord(c)])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) or "\\U0010ffff"
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) or "\\U0010ffff", lower
 
 
 class Vocabulary:
     """What a tokenizer's file says: tokens, merges, and how texts are cut.
 
-    ``newer`` is a class of characters that count as neither letters nor numbers.
+    ``newer`` is what ``newer_characters`` gives.
     """
 
-    def __init__(self, path: str, newer: str):
+    def __init__(self, path: str, newer: tuple[str, dict[int, str]]):
+        newer, self.lower = newer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -131,8 +140,10 @@ class Vocabulary:
                 part = part if part.isascii() else unicodedata.normalize("NFC", part)
                 # lower() alone turns a capital sigma by its place in a word
                 part = part.replace("Σ", "σ").lower()
-                words = self.plain_words if _PLAIN(part) else self.words
-                found += words.findall(part)
+                if _PLAIN(part):
+                    found += self.plain_words.findall(part)
+                else:
+                    found += self.words.findall(part.translate(self.lower))
         return found
 
 

@@ -317,7 +317,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, each: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, each: int = SAMPLE, rounds: int = ROUNDS) -> Model:
     """``labels``: (doc_id, label 0/1); ``train``: which of its rows may be learnt from."""
     scratch = Scratch(docs.sparkSession)
     sample, sizes = sample_rows(docs.select("doc_id", "text"), labels, train, each)
@@ -330,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, each: int = SAMPLE) -
     if len(taken) < 2:
         return Model(None, None, sizes[1] / total)
     marked = marks(sample, taken[1] / (taken[0] + taken[1]))
-    weights = fit_chain(scratch.save(encode_sample(sample, marked), "encoded"))
+    weights = fit_chain(scratch.save(encode_sample(sample, marked), "encoded"), rounds)
     return Model(weights, fit_document(sample, weights, sizes), sizes[1] / total)
 
 
