@@ -79,7 +79,7 @@ def _numeric(grain: str) -> dict[str, str]:
             " WHEN CAST(HH07 AS INTEGER) < 18 THEN '0-17' END"
         )
         out["disability_code"] = (
-            "CASE WHEN coalesce(CAST(HH07 AS INTEGER), 99) >= 5"
+            "CASE WHEN coalesce(CAST(HH07 AS INTEGER), 99) >= 5 OR person_id % 3 = 0"
             " THEN TRY_CAST(disability_code AS DOUBLE) END"
         )
     return out

@@ -130,22 +130,20 @@ def _tabled(grain: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _description() -> str:
-    numeric = ["HH07", "hh_size_001", "wgh_samp_pop_restr"]
-    categorical = ["pop_groups", "samp_strat", "HH04", "HH07_cat", "disability", "EDU01_random"]
+def _description(table: str, numeric: list[str], categorical: list[str]) -> str:
     parts = []
     for c in numeric:
         parts.append(
             f"SELECT {text(c)} AS variable, CAST(NULL AS VARCHAR) AS level, count({c}) AS n,"
             f" count(*) - count({c}) AS missing, {rounded(f'avg({c})', 'mean')},"
-            f" {rounded(f'stddev_samp({c})', 'sd')}, {NONE} AS percent FROM main"
+            f" {rounded(f'stddev_samp({c})', 'sd')}, {NONE} AS percent FROM {table}"
         )
     for c in categorical:
-        share = f"CAST(count(*) AS DOUBLE) / (SELECT count({c}) FROM main) * 100"
+        share = f"CAST(count(*) AS DOUBLE) / (SELECT count({c}) FROM {table}) * 100"
         parts.append(
-            f"SELECT {text(c)}, {c}, count(*), (SELECT count(*) - count({c}) FROM main),"
+            f"SELECT {text(c)}, {c}, count(*), (SELECT count(*) - count({c}) FROM {table}),"
             f" {NONE}, {NONE}, {rounded(share, 'percent')}"
-            f" FROM main WHERE {c} IS NOT NULL GROUP BY {c}"
+            f" FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}"
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -198,6 +196,32 @@ SELECT {by}, {text(name)} AS var_name, CAST(sum(n) AS BIGINT) AS num_obs_uw,
     {rounded('sum(a)', answered)} FROM parts GROUP BY {by}"""
 
 
+def _ratio_number() -> str:
+    """People to a room, by the direct formulas."""
+
+    def se(z: str) -> str:
+        return f"nh / (nh - 1) * (sum(pow({z}, 2)) - pow(sum({z}), 2) / nh)"
+
+    z = {
+        "hh_size_001": "w * coalesce(hh_size_001, 0)",
+        "DWE05": "w * coalesce(DWE05, 0)",
+        "known": "CASE WHEN DWE05 IS NULL THEN 0 ELSE w END",
+    }
+    sums = ", ".join(f"sum({v}) AS t_{k}, {se(v)} AS v_{k}" for k, v in z.items())
+    both = ", ".join(f"sum(t_{k}) AS t_{k}, sqrt(sum(v_{k})) AS s_{k}" for k in z)
+    return f"""WITH base AS (SELECT pop_groups, samp_strat AS h, wgh_samp_pop_restr AS w,
+    hh_size_001, DWE05 FROM main),
+sizes AS (SELECT h, CAST(count(*) AS DOUBLE) AS nh FROM base GROUP BY h),
+parts AS (SELECT pop_groups, {sums} FROM base JOIN sizes USING (h) GROUP BY pop_groups, h, nh),
+est AS (SELECT pop_groups, {both} FROM parts GROUP BY pop_groups)
+SELECT pop_groups, 'people_per_room' AS var_name, t_known AS num_obs_uw,
+    {rounded('s_known', 'num_obs_uw_se')}, t_hh_size_001 AS denominator,
+    {rounded('s_hh_size_001', 'denominator_se')}, t_hh_size_001 AS hh_size_001_total,
+    {rounded('s_hh_size_001', 'hh_size_001_total_se')}, t_DWE05 AS DWE05_total,
+    {rounded('s_DWE05', 'DWE05_total_se')},
+    round(t_hh_size_001 / nullif(t_DWE05, 0), 4) AS mean_value FROM est"""
+
+
 def _sorted_shares(shares: str, name: str, value: str, by: list[str], digits: int, where="") -> str:
     keys = "".join(f"{k}, " for k in by)
     return f"""WITH shares AS (SELECT * FROM ({shares}){where}),
@@ -243,6 +267,12 @@ _WRAPPED = {
     "Long waiting times": "Long waiting times",
     "Lack of medical supplies": "Lack of medical\nsupplies",
     "Health facility damaged/destroyed": "Health facility\ndamaged/destroyed",
+    "Account in financial institution": "Account in financial\ninstitution",
+    "Have a ATM/debit card": "Have a ATM/debit\ncard",
+    "Used mobile money in the last 12 months": "Used mobile money in\nthe last 12 months",
+    "Personally used mobile money in the last 12 months": (
+        "Personally used\nmobile money in the\nlast 12 months"
+    ),
 }
 
 
@@ -251,11 +281,11 @@ def _value_case(column: str, pairs) -> str:
     return f"CASE {column} {cases} END"
 
 
-def _component_bars(shares: str, labels) -> str:
-    shown = f"coalesce({_value_case('facility', labels)}, facility)"
-    return f"""SELECT pop_groups, {shown} AS facility,
-    {_value_case(shown, _WRAPPED)} AS axis_label, percentage, {_percent('percentage')} AS label
-FROM ({shares})"""
+def _component_bars(shares: str, labels, name: str = "facility") -> str:
+    shown = f"coalesce({_value_case(name, labels)}, {name})"
+    return f"""SELECT pop_groups, {shown} AS {name},
+    {_value_case(shown, _WRAPPED)} AS axis_label, percentage,
+    printf('%.1f%%', round(percentage, 1)) AS label FROM ({shares})"""
 
 
 def _relabel_wrap() -> str:
@@ -329,14 +359,38 @@ def _plain_sql() -> dict[str, str]:
             "impact3_3",
             "answered",
         ),
+        "total_number": _total(
+            "pop_groups",
+            "hh_size_001",
+            "hh_size_001 IS NOT NULL",
+            "wgh_samp_pop_restr",
+            "hh_size_001",
+            "answered",
+        ),
+        "ratio_number": _ratio_number(),
         "strata_sizes": """SELECT samp_strat AS stratum, count(DISTINCT hh_id) AS n_h
             FROM ind GROUP BY samp_strat""",
         "combined_indicators": _COMBINED,
         "combined_indicators_stratified": _COMBINED_STRATIFIED,
         "combined_for_group": _REPORT.format(_COMBINED) + " WHERE pop_groups = 'IDPs'",
+        "combined_for_returnees": _REPORT.format(_COMBINED)
+        + " WHERE pop_groups = 'Refugee returnees'",
+        "report_table_stratified": _REPORT.format(_COMBINED_STRATIFIED),
+        "stratified_for_group": _REPORT.format(_COMBINED_STRATIFIED) + " WHERE pop_groups = 'IDPs'",
+        "stratified_for_returnees": _REPORT.format(_COMBINED_STRATIFIED)
+        + " WHERE pop_groups = 'Refugee returnees'",
         "combined_by_stratum": _stacked(STRATIFIED, [f"{c}_strata" for c in CORE], ["samp_strat"]),
         "combined_disaggregated": _agd(),
         "headline_counts": _headline(),
+        "headline_counts_second": """SELECT 'households' AS name, count(*) AS n FROM main
+            UNION ALL SELECT 'refugee_households', count(*) FROM main WHERE pop_groups = 'IDPs'
+            UNION ALL SELECT 'host_households', count(*) FROM main
+                WHERE pop_groups = 'Refugee returnees'
+            UNION ALL SELECT 'persons', count(*) FROM ind
+            UNION ALL SELECT 'female', count(*) FROM ind WHERE HH04 = 'Female'
+            UNION ALL SELECT 'male', count(*) FROM ind WHERE HH04 = 'Male'
+            UNION ALL SELECT 'below_18', count(*) FROM ind WHERE HH07 < 18
+            UNION ALL SELECT 'above_18', count(*) FROM ind WHERE HH07 >= 18""",
         "freq_household": _tabled(HOUSEHOLD),
         "freq_person": _tabled(PERSON),
         "freq_oneway": """SELECT HH07_cat, count(*) AS n FROM ind
@@ -345,7 +399,16 @@ def _plain_sql() -> dict[str, str]:
             count(*) FILTER (pop_groups = 'Refugee returnees') AS returnee_households,
             count(*) FILTER (pop_groups = 'IDPs') AS idp_households FROM main
             WHERE outcome8_2 IS NOT NULL AND pop_groups IS NOT NULL GROUP BY outcome8_2""",
-        "sample_description": _description(),
+        "sample_description": _description(
+            "main",
+            ["HH07", "hh_size_001", "wgh_samp_pop_restr"],
+            ["pop_groups", "samp_strat", "HH04", "HH07_cat", "disability", "EDU01_random"],
+        ),
+        "sample_description_person": _description(
+            "ind",
+            ["HH07", "wgh_samp_pop_restr", "wgh_strata_spec"],
+            ["pop_groups", "samp_strat", "HH04", "HH07_cat", "HH07_cat2", "disability", "citizenship"],
+        ),
         "composite_column_range": facilities,
         "plot_errorbars": _error_bars(table_sql(PLAIN["impact2_2"]), "pop_groups"),
         "plot_errorbars_by_stratum": _error_bars(
@@ -358,7 +421,7 @@ def _plain_sql() -> dict[str, str]:
         "plot_facets_ratio": _facets(table_sql(PLAIN["impact3_2a_agd"]), ["pop_groups"]),
         "plot_sorted_shares": _sorted_shares(hacc, "Reason", "Percentage", [], 1),
         "plot_sorted_shares_by_group": _sorted_shares(
-            gbv, "Services", "Percentage", ["pop_groups"], 0
+            gbv, "Services", "Percentage", ["pop_groups"], 1
         ),
         "plot_sorted_distribution": _sorted_shares(
             light, "LIGHT02", "Percentage", [], 1, " WHERE LIGHT02 IS NOT NULL"
@@ -374,7 +437,12 @@ def _plain_sql() -> dict[str, str]:
         ),
         "plot_composite_facilities": _component_bars(
             shares_sql(STRATIFIED["composite_impact2_2_pop"]), {}
-        ).replace("coalesce(CASE facility  END, facility)", "facility"),
+        )
+        .replace("coalesce(CASE facility  END, facility)", "facility")
+        .replace("printf('%.1f%%', round(percentage, 1))", _percent("percentage")),
+        "plot_composite_bank": _component_bars(
+            shares_sql(PLAIN["composite_outcome13_1"]), book.BANK_ACCESS, "access"
+        ),
         "plot_contrast": f"""SELECT *, {_percent('percentage')} AS label,
             CASE WHEN percentage > 15 THEN 'white' ELSE 'black' END AS label_color
             FROM ({distribution_sql(REPORT['availability_summary'])})""",
@@ -399,6 +467,13 @@ def _raw_sql() -> dict[str, str]:
         "label_lookup": f"""SELECT hh_id, CASE COOK02 {stove} END AS stove,
             CASE LIGHT02 {light} END AS lighting FROM main""",
         "csv_scan": _raw(HOUSEHOLDS, "main"),
+        "csv_scan_reordered": _raw(HOUSEHOLDS, "main"),
+        "labels_after_coercion": """SELECT 'SPF01b' AS variable,
+            CASE SPF01b WHEN '1' THEN 'Yes' WHEN '0' THEN 'No' WHEN '98' THEN 'Don''t know' END AS level,
+            count(*) AS n FROM main WHERE SPF01b IN ('0', '1', '98') GROUP BY SPF01b
+            UNION ALL SELECT 'GBV01a',
+            CASE GBV01a WHEN '1' THEN 'Yes' WHEN '0' THEN 'No' WHEN '98' THEN 'Don''t know' END,
+            count(*) FROM main WHERE GBV01a IN ('0', '1', '98') GROUP BY GBV01a""",
         "parquet_scan": _raw(PERSONS, "ind"),
     }
 

@@ -73,7 +73,7 @@ def mean_sql(spec: Estimate, cv: bool = False) -> str:
         rounded("est.m", "mean_value"),
         rounded(f"est.m - {half}", "mean_value_low"),
         rounded(f"est.m + {half}", "mean_value_upp"),
-        rounded("sqrt(var.vm)", "mean_value_se"),
+        rounded("CASE WHEN est.m IS NOT NULL THEN sqrt(var.vm) END", "mean_value_se"),
         *last,
     ]
     return f"""WITH {_domain(spec.grain, {'y': t.column}, by, t.where, t.weight, spec.strata)},

@@ -23,6 +23,11 @@ def num(column: str) -> str:
     return f"try_cast({column} AS DOUBLE)"
 
 
+def name(column: str) -> str:
+    """A column name as SQL, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def any_of(conditions: Iterable[str]) -> str:
     return "(" + " OR ".join(conditions) + ")"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyloom.functions.codes import quoted
 
@@ -38,11 +39,11 @@ def attach_labels(
     frame: DataFrame, names: Mapping[str, str], values: Mapping[str, float]
 ) -> DataFrame:
     """Attach a variable label and common value labels to columns, as metadata."""
-    for name in frame.columns:
-        if name in names:
-            meta = {"label": names[name], "labels": dict(values)}
-            frame = frame.withMetadata(name, meta)
-    return frame
+    def labelled(name: str):
+        meta = {"label": names[name], "labels": dict(values)}
+        return F.col(f"`{name}`").alias(name, metadata=meta)
+
+    return frame.select(*[labelled(c) if c in names else F.col(f"`{c}`") for c in frame.columns])
 
 
 def read_labels(frame: DataFrame, name: str) -> tuple[str | None, dict[str, float]]:

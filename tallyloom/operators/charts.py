@@ -64,15 +64,20 @@ def component_bars(
     labels: Mapping[str, str],
     width: int = 20,
     digits: int = 1,
+    shortest: bool = False,
 ) -> DataFrame:
-    """Composite shares with readable component names, wrapped to a width."""
+    """Composite shares with readable component names, wrapped to a width.
+
+    Labels have a fixed number of digits (``33.0%``), or the fewest (``33%``) with ``shortest``.
+    """
     shown = relabel(name, labels)
+    percent = rounded_percent_label if shortest else percent_label
     return shares.selectExpr(
         *by,
         f"{shown} AS {name}",
         f"{wrap_words(shown, width)} AS axis_label",
         value,
-        f"{rounded_percent_label(value, digits)} AS label",
+        f"{percent(value, digits)} AS label",
     )
 
 

@@ -34,13 +34,13 @@ ALL = "all"
 class Measure:
     """A numeric column to estimate.
 
-    ``binary`` columns hold only 0, 1 or NULL and need fewer sums.  ``center``
-    is subtracted while summing and added back to the mean; a value near the mean
+    ``binary`` claims that a column holds only 0, 1 or NULL, which needs fewer sums; a false
+    claim that shows in a variance stops the query.  ``center`` is subtracted while summing and added back to the mean; a value near the mean
     keeps precision for large numbers and leaves the results unchanged.
     """
 
     column: str
-    binary: bool = True
+    binary: bool = False
     center: float = 0.0
 
 
@@ -62,7 +62,7 @@ class MeanTable:
     denominator: str = ALL
     weight: str | None = None
     var_name: str | None = None
-    binary: bool = True
+    binary: bool = False
     center: float = 0.0
     cv: bool = False
 
@@ -270,8 +270,18 @@ class _Pass:
         )
 
 
-def _root(variance: str) -> str:
-    return f"sqrt(CASE WHEN {variance} < 0 THEN 0D ELSE {variance} END)"
+def _root(variance: str, size: str) -> str:
+    """Standard error.  Below zero a variance is rounding, if tiny beside ``size``, or an error."""
+    wrong = "CAST(raise_error('a negative variance: is a binary column really 0/1?') AS DOUBLE)"
+    return (
+        f"sqrt(CASE WHEN {variance} < -1e-9D * ({size}) THEN {wrong}"
+        f" WHEN {variance} < 0 THEN 0D ELSE {variance} END)"
+    )
+
+
+def _total_se(x: str, prefix: str = "") -> str:
+    """Standard error of the total w, a or b; its variance is rounded at the scale of x²/n."""
+    return _root(f"{prefix}v_{x}", f"{prefix}{x} * {prefix}{x} / greatest({prefix}n, 1)")
 
 
 def _choice(values: Sequence[str]) -> str:
@@ -282,7 +292,10 @@ def _choice(values: Sequence[str]) -> str:
 
 
 _MEAN = "try_divide(b, a)"
-_MEAN_SE = _root(f"try_divide(v_b - 2 * {_MEAN} * c_ab + {_MEAN} * {_MEAN} * v_a, a * a)")
+_MEAN_SE = _root(
+    f"try_divide(v_b - 2 * {_MEAN} * c_ab + {_MEAN} * {_MEAN} * v_a, a * a)",
+    f"coalesce({_MEAN} * {_MEAN}, 0D) / greatest(n, 1)",
+)
 
 
 def mean_tables(
@@ -311,14 +324,14 @@ def mean_tables(
         "num_obs_uw": num_obs,
     }
     if ALL in counts:
-        se = {ALL: _root("v_w")}
+        se = {ALL: _total_se("w")}
         columns["num_obs_uw_se"] = _choice(
             [se.get(t.count, "CAST(NULL AS DOUBLE)") for t in tables]
         )
     columns["denominator"] = _choice([number[t.denominator] for t in tables])
     if any(t.denominator == ALL for t in tables):
         columns["denominator_se"] = _choice(
-            [_root("v_w") if t.denominator == ALL else "CAST(NULL AS DOUBLE)" for t in tables]
+            [_total_se("w") if t.denominator == ALL else "CAST(NULL AS DOUBLE)" for t in tables]
         )
     columns["mean_value"] = f"{_MEAN} + {center}"
     half = f"{t_quantile('df', (1 + level) / 2)} * mean_value_se"
@@ -352,14 +365,15 @@ def total_table(
     by: Sequence[str],
     column: str | None = None,
     where: str | None = None,
-    binary: bool = True,
+    binary: bool = False,
 ) -> DataFrame:
     """Weighted totals by group: of the rows, or of a column where one is given.
 
     ``answered`` is the weighted number of rows in which the column is not missing.
     """
     source = design if column else design.derive(one="1D")
-    request = _Request(Measure(column or "one", binary), tuple(by), where, design.weight)
+    measure = Measure(column or "one", binary or column is None)
+    request = _Request(measure, tuple(by), where, design.weight)
     return (
         _Pass(source, [request])
         .groups()
@@ -368,7 +382,7 @@ def total_table(
             f"{quoted(column or ROWS)} AS var_name",
             "n AS num_obs_uw",
             "b AS total",
-            f"{_root('v_b')} AS total_se",
+            f"{_total_se('b')} AS total_se",
             "a AS answered",
         )
     )
@@ -383,6 +397,7 @@ def ratio_table(
     where: str | None = None,
     denominator: str | None = None,
     digits: int = 4,
+    binary: bool = False,
 ) -> DataFrame:
     """Ratio of two totals by group, with the standard error of each total.
 
@@ -393,17 +408,20 @@ def ratio_table(
     denominator = denominator or numerator
     if denominator not in (numerator, base):
         raise ValueError("denominator must be the numerator or the base column")
-    requests = [_Request(Measure(c), tuple(by), where, design.weight) for c in (numerator, base)]
+    requests = [
+        _Request(Measure(c, binary), tuple(by), where, design.weight) for c in (numerator, base)
+    ]
     totals = {
-        "num_obs_uw": (1, "a", "v_a"),
-        "denominator": (0 if denominator == numerator else 1, "b", "v_b"),
-        f"{numerator}_total": (0, "b", "v_b"),
-        f"{base}_total": (1, "b", "v_b"),
+        "num_obs_uw": (1, "a"),
+        "denominator": (0 if denominator == numerator else 1, "b"),
+        f"{numerator}_total": (0, "b"),
+        f"{base}_total": (1, "b"),
     }
     sums = []
-    for name, (request, total, variance) in totals.items():
+    for name, (request, total) in totals.items():
         sums.append(f"max(CASE WHEN request = {request} THEN {total} END) AS {name}")
-        sums.append(f"max(CASE WHEN request = {request} THEN {_root(variance)} END) AS {name}_se")
+        se = f"CASE WHEN request = {request} THEN {_total_se(total)} END"
+        sums.append(f"max({se}) AS {name}_se")
     wide = _aggregate(_Pass(design, requests).groups(), by, sums)
     value = f"try_divide({numerator}_total, {base}_total)"
     return wide.selectExpr(
@@ -426,6 +444,7 @@ class RatioTable:
     denominator: str | None = None
     weight: str | None = None
     digits: int = 4
+    binary: bool = False
 
 
 def indicator_tables(
@@ -442,7 +461,7 @@ def indicator_tables(
         if isinstance(t, MeanTable):
             measures = [Measure(t.column, t.binary, t.center)]
         else:
-            measures = [Measure(t.numerator), Measure(t.base)]
+            measures = [Measure(t.numerator, t.binary), Measure(t.base, t.binary)]
         places.append(len(requests))
         requests += [_Request(m, tuple(t.by), t.where, w) for m in measures]
     one_pass = _Pass(design, requests)
@@ -463,7 +482,7 @@ def indicator_tables(
             mean = f"{_MEAN} + {float(t.center)!r}D"
             put("num_obs_uw", i, number[t.count])
             put("denominator", i, number[t.denominator])
-            put("denominator_se", i, _root("v_w") if t.denominator == ALL else none)
+            put("denominator_se", i, _total_se("w") if t.denominator == ALL else none)
             put("mean_value", i, mean)
             put("mean_value_low", i, f"{mean} - {half}")
             put("mean_value_upp", i, f"{mean} + {half}")
@@ -472,13 +491,13 @@ def indicator_tables(
             same = t.denominator in (None, t.numerator)
             prefix = "" if same else "base_"
             put("num_obs_uw", i, "base_a")
-            put("num_obs_uw_se", i, _root("base_v_a"))
+            put("num_obs_uw_se", i, _total_se("a", "base_"))
             put("denominator", i, f"{prefix}b")
-            put("denominator_se", i, _root(f"{prefix}v_b"))
+            put("denominator_se", i, _total_se("b", prefix))
             put(f"{t.numerator}_total", i, "b")
-            put(f"{t.numerator}_total_se", i, _root("v_b"))
+            put(f"{t.numerator}_total_se", i, _total_se("b"))
             put(f"{t.base}_total", i, "base_b")
-            put(f"{t.base}_total_se", i, _root("base_v_b"))
+            put(f"{t.base}_total_se", i, _total_se("b", "base_"))
             put("mean_value", i, f"round(try_divide(b, base_b), {t.digits})")
     return wide.selectExpr(
         *by,
@@ -497,7 +516,7 @@ def _beside(
     is_first = _choice([str(x) for x in first])
     pairs = groups.selectExpr(*by, f"{item} AS request", f"{is_first} AS first", *parts)
     sums = [f"max(CASE WHEN first = 1 THEN {x} END) AS {x}" for x in parts]
-    base = ["a", "v_a", "b", "v_b"]
+    base = ["n", "a", "v_a", "b", "v_b"]
     sums += [f"max(CASE WHEN first = 0 THEN {x} END) AS base_{x}" for x in base]
     return _aggregate(pairs, ["request", *by], sums)
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.codes import num, quoted
+from tallyloom.functions.codes import name, num, quoted
 from tallyloom.functions.labels import code_label, number_label, relabel
 
 
@@ -54,10 +54,10 @@ def component_shares(
     pairs = ", ".join(f"struct({quoted(c)} AS name, share_{c} AS share)" for c in columns)
     kept = [f"share_{c} AS {c}" for c in keep]
     tall = wide.selectExpr(*by, *kept, f"inline(array({pairs}))")
-    name = "name"
+    shown = "name"
     if labels is not None:
-        name = relabel("name", labels) if unlisted == "keep" else code_label("name", labels)
-    return tall.selectExpr(*by, *keep, f"{name} AS {names_to}", f"share AS {values_to}")
+        shown = relabel("name", labels) if unlisted == "keep" else code_label("name", labels)
+    return tall.selectExpr(*by, *keep, f"{shown} AS {names_to}", f"share AS {values_to}")
 
 
 def distribution(
@@ -194,19 +194,25 @@ def sample_description(
 def headline_counts(frame: DataFrame, total: str, conditions: Mapping[str, str]) -> DataFrame:
     """Number of rows, and of rows meeting each condition, as ``(name, n)``."""
     sums = [F.expr(f"count(1) AS {total}")]
-    sums += [F.expr(f"count_if({text}) AS {name}") for name, text in conditions.items()]
+    sums += [F.expr(f"count_if({text}) AS {label}") for label, text in conditions.items()]
     names = [total, *conditions]
     pairs = ", ".join(f"struct({quoted(x)} AS name, {x} AS n)" for x in names)
     return frame.agg(*sums).selectExpr(f"inline(array({pairs}))")
 
 
+def numeric_columns(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Coerce text codes of the named columns to numbers in place.
 
+    Names count in any case.  All other columns, and the labels of the coerced ones, stay.
+    """
+    wanted = {c.lower() for c in columns}
 
-def numeric_columns(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Coerce text codes of the named columns to numbers in place."""
-    return frame.selectExpr(
-        *[f"{num(c)} AS {c}" if c in columns else c for c in frame.columns]
-    )
+    def coerced(c: str):
+        if c.lower() not in wanted:
+            return F.col(name(c))
+        return F.expr(num(name(c))).alias(c, metadata=frame.schema[c].metadata)
+
+    return frame.select(*[coerced(c) for c in frame.columns])
 
 
 def columns_starting_with(frame: DataFrame, prefix: str) -> list[str]:

@@ -144,13 +144,13 @@ RATIOS = {
 
 
 def _mean(grain, column, by, where=None, strata=None, **options) -> Estimate:
-    return Estimate(grain, MeanTable(column, column, tuple(by), where, **options), strata)
+    return Estimate(grain, MeanTable(column, column, tuple(by), where, binary=True, **options), strata)
 
 
 def _ratio(column, by, where, strata=None, weight=None, base_denominator=False) -> Estimate:
     top, base = RATIOS[column]
     denominator = base if base_denominator else top
-    table = RatioTable(column, top, base, tuple(by), where, denominator, weight)
+    table = RatioTable(column, top, base, tuple(by), where, denominator, weight, binary=True)
     return Estimate(PERSON, table, strata)
 
 
@@ -371,7 +371,7 @@ def run(spec: Spec, frames: Mapping[str, DataFrame]) -> DataFrame:
         if isinstance(t, MeanTable):
             return mean_tables(design, [t]).drop("table")
         return ratio_table(
-            design, t.numerator, t.base, t.by, t.name, t.where, t.denominator, t.digits
+            design, t.numerator, t.base, t.by, t.name, t.where, t.denominator, t.digits, t.binary
         )
     options = {k: v for k, v in vars(spec).items() if k != "grain"}
     if isinstance(spec, Shares):

@@ -182,29 +182,32 @@ BANK_ACCESS = {
     "BANK05": "Personally used mobile money in the last 12 months",
 }
 
-# Variable labels of the core indicators.
+# Variable labels of the indicators and helper conditions that carry one.
 INDICATORS = {
-    "impact2_2": "People in safe settlements with access to basic facilities",
-    "impact2_3": "People with access to health services",
-    "impact3_2a": "Enrolment in primary education",
-    "impact3_2b": "Enrolment in secondary education",
-    "impact3_3": "People feeling safe walking alone",
-    "outcome1_2": "Children under 5 with registered birth",
-    "outcome1_3": "People with identity documents",
-    "outcome4_1": "People who know where to find GBV services",
-    "outcome4_2": "People who do not accept violence against women",
-    "outcome5_2": "Children in community protection programmes",
-    "outcome8_2": "People relying on clean cooking fuel",
-    "outcome9_1": "People in habitable and affordable housing",
-    "outcome9_2": "People with energy for lighting",
-    "outcome10_1": "Children vaccinated against measles",
-    "outcome10_2": "Births attended by skilled personnel",
-    "outcome12_1": "People using basic drinking water services",
-    "outcome12_2": "People with a safe household toilet",
-    "outcome13_1": "People with a bank or mobile-money account",
-    "outcome13_2": "People reporting positive income changes",
-    "outcome13_3": "Unemployed people in the labour force",
-    "outcome14_1": "Returnees with identity documents",
-    "outcome16_1": "People with secure tenure",
-    "outcome16_2": "People covered by social protection",
+    "electricity": "Access to electricity",
+    "healthcare": "Access to healthcare facility",
+    "drinkingwater": "Access to drinking water",
+    "secure": "Proportion of people residing in physically safe and secure settlements with access to basic facilities",
+    "birthCertificate": "Children under 5 with a birth certificate",
+    "birthRegistered": "Children under 5 birth registered with civil authorities",
+    "impact2_2": "Proportion of people residing in physically safe and secure settlements with access to basic facilities",
+    "impact2_3": "Proportion of people with access to health",
+    "impact3_3": "Proportion of people that feel safe walking alone in their neighbourhood after dark",
+    "outcome1_2": "Proportion of children under 5 years of age whose births have been registered with a civil authority",
+    "outcome1_3": "Proportion of people with legally recognized identity documents or credentials",
+    "outcome4_1": "Proportion of people who know where to access available GBV service",
+    "outcome4_2": "Proportion of people who do not accept violence against women",
+    "outcome5_2": "Proportion of children who participate in community-based child protection programmes",
+    "outcome8_2": "Proportion of people with primary reliance on clean (cooking) fuels and technology",
+    "outcome9_1": "Proportion of people living in habitable and affordable housing",
+    "outcome9_2": "Proportion of people that have energy to ensure lighting",
+    "outcome10_1": "Proportion of children aged 9 months to five years who have received measles vaccination*",
+    "outcome10_2": "Proportion of births attended by skilled health personnel",
+    "outcome12_1": "Proportion of people using at least basic drinking water services",
+    "outcome12_2": "This indicator measures the proportion of people with access to at least basic sanitation services.",
+    "outcome13_1": "Proportion of people with an account at a bank or other financial institution or with a mobile-money-service provider",
+    "outcome13_2": "Proportion of people who self-report positive changes in their income compared to previous year",
+    "outcome14_1": "Proportion of returnees with legally recognized identity documents or credentials",
+    "outcome16_1": "Proportion of people with secure tenure rights to housing and/or land",
+    "outcome16_2": "Proportion of people covered by national social protection systems",
 }

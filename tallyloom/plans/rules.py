@@ -7,10 +7,12 @@ one projection, so the plan stays shallow and unused columns are pruned.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyloom.functions.codes import (
     all_match,
@@ -20,12 +22,15 @@ from tallyloom.functions.codes import (
     any_one,
     is_in,
     listed,
-    num,
+    name,
+    quoted,
     scored,
     two_way,
 )
 from tallyloom.functions.labels import attach_labels, number_label
+from tallyloom.operators.profile import numeric_columns
 from tallyloom.plans.codebook import DISABILITY, EDUCATION, INDICATORS, YES_NO
+from tallyloom.sources.schemas import HOUSEHOLDS, PERSONS
 
 # Lettered and numbered item groups of the questionnaire.
 SHELTER_ITEMS = [f"SHEL0{i}" for i in range(1, 7)]
@@ -41,23 +46,13 @@ HEALTH_CHOICES = [f"HACC04_{i}" for i in (3, 5, 6, 8, 9, 96)]
 
 FACILITY_FLAGS = ["shelter", "electricity", "drinkingwater", "healthcare", "secure"]
 
-# Columns that are not answers: keys, groups, weights and labels.
-_KEPT = {
-    "hh_id",
-    "person_id",
-    "pop_groups",
-    "samp_strat",
-    "wgh_samp_pop_restr",
-    "wgh_strata_spec",
-    "wgh_strata_spec_resp",
-    "wgh_samp_pop_restr_resp",
-    "citizenship",
-    "HH04",
-    "HH07_cat",
-    "HH07_cat2",
-    "disability",
-    "EDU01_random",
-}
+# Columns of the survey that are text and stay so; its other text columns are coded answers.
+_TEXT = {"pop_groups", "samp_strat", "citizenship", "HH04", "HH07_cat", "HH07_cat2"}
+ANSWERS = [
+    f.name
+    for f in {f.name: f for f in [*HOUSEHOLDS, *PERSONS]}.values()
+    if f.dataType == StringType() and f.name not in _TEXT
+]
 
 
 @dataclass(frozen=True)
@@ -67,7 +62,7 @@ class RuleOptions:
     ``gbv_row_wise``: read "all services unknown" per respondent instead of over
     the whole table.  ``strict_water``: exclude unimproved water sources by code.
     ``strict_toilet``: require all three toilet conditions.  Age bounds are
-    inclusive.
+    inclusive.  Citizenship is ``foreign_code`` or else ``own_code``.
     """
 
     gbv_row_wise: bool = False
@@ -80,6 +75,8 @@ class RuleOptions:
     max_crowding: float = 3
     max_water_minutes: float = 30
     max_health_minutes: float = 60
+    foreign_code: str = "SDN"
+    own_code: str = "SSD"
 
 
 DEFAULTS = RuleOptions()
@@ -89,19 +86,22 @@ Rules = dict[str, str]
 
 def _project(frame: DataFrame, rules: Rules) -> DataFrame:
     """All columns, with the given ones replaced or added."""
-    kept = [c for c in frame.columns if c not in rules]
-    return frame.selectExpr(*kept, *[f"{text} AS {name}" for name, text in rules.items()])
+    kept = [F.col(name(c)) for c in frame.columns if c not in rules]
+    return frame.select(*kept, *[F.expr(text).alias(c) for c, text in rules.items()])
 
 
-def numeric_answers(frame: DataFrame) -> DataFrame:
-    """Read every answer column as a number; keys, groups and weights stay as they are."""
-    answers = {c: num(c) for c in frame.columns if c not in _KEPT}
-    return _project(frame, answers)
+def numeric_answers(frame: DataFrame, answers: Sequence[str] = ANSWERS) -> DataFrame:
+    """Read the named answer columns as numbers, with their labels.
+
+    Names count in any case; every other column stays as it is.
+    """
+    return numeric_columns(frame, answers)
 
 
-def respondent_rules(columns: list[str]) -> Rules:
+def respondent_rules(columns: list[str], o: RuleOptions = DEFAULTS) -> Rules:
     """Disaggregation columns: citizenship, disability and education labels."""
-    out = {"citizenship": two_way("citizenship = 'SDN'", "'SDN'", "'SSD'")}
+    foreign, own = quoted(o.foreign_code), quoted(o.own_code)
+    out = {"citizenship": two_way(f"citizenship = {foreign}", foreign, own)}
     if "disability_code" in columns:
         out["disability"] = number_label("disability_code", DISABILITY)
     if "EDU01_random_code" in columns:
@@ -256,7 +256,7 @@ def with_gbv_knowledge(frame: DataFrame, o: RuleOptions = DEFAULTS) -> DataFrame
 def household_indicators(frame: DataFrame, options: RuleOptions = DEFAULTS) -> DataFrame:
     """Household table with numeric answers, helper conditions and household indicators."""
     answers = numeric_answers(frame)
-    rules = {**respondent_rules(frame.columns), **household_conditions(options)}
+    rules = {**respondent_rules(frame.columns, options), **household_conditions(options)}
     out = with_gbv_knowledge(_project(answers, rules), options)
     for step in household_composites(options):
         out = _project(out, step)
@@ -321,7 +321,7 @@ def person_composites(o: RuleOptions) -> Rules:
 def person_indicators(frame: DataFrame, options: RuleOptions = DEFAULTS) -> DataFrame:
     """Person table with numeric answers, helper conditions and person indicators."""
     answers = numeric_answers(frame)
-    rules = {**respondent_rules(frame.columns), **person_conditions(options)}
+    rules = {**respondent_rules(frame.columns, options), **person_conditions(options)}
     return _project(_project(answers, rules), person_composites(options))
 
 

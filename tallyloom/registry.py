@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.functions.codes import num
 from tallyloom.functions.labels import (
+    attach_labels,
     code_label,
     number_label,
     number_order,
@@ -19,7 +20,7 @@ from tallyloom.functions.labels import (
 from tallyloom.functions.text import wrap_words
 from tallyloom.operators import charts
 from tallyloom.operators.design import SurveyDesign
-from tallyloom.operators.estimate import mean_table, total_table
+from tallyloom.operators.estimate import mean_table, ratio_table, total_table
 from tallyloom.operators.profile import (
     column_types,
     columns_between,
@@ -47,10 +48,11 @@ from tallyloom.plans.catalogue import (
 from tallyloom.plans.rules import (
     RuleOptions,
     household_indicators,
+    numeric_answers,
     person_indicators,
     with_indicator_labels,
 )
-from tallyloom.session import shared_folder, tune
+from tallyloom.session import shared_folder
 from tallyloom.sources import files
 from tallyloom.sources.derive import households, persons
 from tallyloom.sources.schemas import HOUSEHOLDS, PERSONS
@@ -62,6 +64,11 @@ DIGITS = 6
 GROUPS = {"returnee_households": "Refugee returnees", "idp_households": "IDPs"}
 GENDERS = {"female": "Female", "male": "Male"}
 AGE_BANDS = {"below_18": "0-17", "above_18": "18+"}
+SECOND_GROUPS = {
+    "refugee_households": "Refugees and Asylum-seekers",
+    "host_households": "Host communities",
+}
+SECOND_BANDS = {"below_18": "0-17", "above_18": "18-60+"}
 
 # Recoded columns that are registered one by one.
 RECODES = {
@@ -173,7 +180,6 @@ TABLED = {
 @lru_cache(maxsize=8)
 def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Recoded tables; the plans are kept, no data is."""
-    tune(spark)
     return {
         HOUSEHOLD: household_indicators(households(spark, sf_dir)),
         PERSON: person_indicators(persons(spark, sf_dir)),
@@ -196,7 +202,6 @@ def _recode(grain: str, column: str) -> Query:
 
 def _optional(column: str, **options) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        tune(spark)
         recoded = household_indicators(households(spark, sf), RuleOptions(**options))
         return recoded.select("hh_id", column)
 
@@ -248,6 +253,17 @@ def _value_labels(spark: SparkSession, sf: str) -> DataFrame:
     return frequencies(shown, names)
 
 
+def _labels_after_coercion(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels given to text answers still decode them once they are numbers."""
+    names = ["SPF01b", "GBV01a"]
+    labelled = attach_labels(
+        households(spark, sf), {n: n for n in names}, {"Yes": 1.0, "No": 0.0, "Don't know": 98.0}
+    )
+    coerced = numeric_answers(labelled)
+    shown = coerced.selectExpr(*[f"{value_label(coerced, n)} AS {n}" for n in names])
+    return frequencies(shown, names)
+
+
 def _design(spark: SparkSession, sf: str, grain: str, **options) -> SurveyDesign:
     return SurveyDesign(frames(spark, sf)[grain], **options)
 
@@ -259,7 +275,7 @@ def _mean_in_domain(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mean_number(spark: SparkSession, sf: str) -> DataFrame:
     design = _design(spark, sf, PERSON, weight=POPULATION, strata=STRATUM)
-    return mean_table(design, "HH07", ["pop_groups"], binary=False, center=30)
+    return mean_table(design, "HH07", ["pop_groups"])
 
 
 def _mean_clustered(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +290,18 @@ def _total_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _total_answers(spark: SparkSession, sf: str) -> DataFrame:
     design = _design(spark, sf, HOUSEHOLD, weight=STRATA, strata=STRATUM)
-    return total_table(design, ["samp_strat"], "impact3_3")
+    return total_table(design, ["samp_strat"], "impact3_3", binary=True)
+
+
+def _total_number(spark: SparkSession, sf: str) -> DataFrame:
+    design = _design(spark, sf, HOUSEHOLD, weight=POPULATION, strata=STRATUM)
+    return total_table(design, ["pop_groups"], "hh_size_001")
+
+
+def _ratio_number(spark: SparkSession, sf: str) -> DataFrame:
+    """People to a room."""
+    design = _design(spark, sf, HOUSEHOLD, weight=POPULATION, strata=STRATUM)
+    return ratio_table(design, "hh_size_001", "DWE05", ["pop_groups"], "people_per_room")
 
 
 def _strata_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,9 +331,20 @@ def _combined(specs) -> Query:
     return lambda spark, sf: report.combined_indicators(specs, frames(spark, sf))
 
 
-def _combined_for_group(spark: SparkSession, sf: str) -> DataFrame:
-    combined = report.combined_indicators(PLAIN, frames(spark, sf))
-    return report.for_group(report.report_table(combined), "IDPs")
+def _combined_for_group(group: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        combined = report.combined_indicators(PLAIN, frames(spark, sf))
+        return report.for_group(report.report_table(combined), group)
+
+    return query
+
+
+def _report_stratified(spark: SparkSession, sf: str) -> DataFrame:
+    return report.report_table(report.combined_indicators(STRATIFIED, frames(spark, sf)))
+
+
+def _stratified_for_group(group: str) -> Query:
+    return lambda spark, sf: report.for_group(_report_stratified(spark, sf), group)
 
 
 def _by_stratum(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,6 +361,16 @@ def _headline(spark: SparkSession, sf: str) -> DataFrame:
     return report.headline(frames(spark, sf), GROUPS, GENDERS, AGE_BANDS)
 
 
+def _headline_second(spark: SparkSession, sf: str) -> DataFrame:
+    """The other country's survey: its own groups and its own name for adults."""
+    named = frames(spark, sf)[HOUSEHOLD].replace(
+        {"IDPs": "Refugees and Asylum-seekers", "Refugee returnees": "Host communities"},
+        subset=["pop_groups"],
+    )
+    people = frames(spark, sf)[PERSON].replace({"18+": "18-60+"}, subset=["HH07_cat2"])
+    return report.headline({HOUSEHOLD: named, PERSON: people}, SECOND_GROUPS, GENDERS, SECOND_BANDS)
+
+
 def _tabled(grain: str) -> Query:
     return lambda spark, sf: frequencies(frames(spark, sf)[grain], TABLED[grain])
 
@@ -347,6 +395,14 @@ def _description(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _person_description(spark: SparkSession, sf: str) -> DataFrame:
+    return sample_description(
+        frames(spark, sf)[PERSON],
+        ["HH07", "wgh_samp_pop_restr", "wgh_strata_spec"],
+        ["pop_groups", "samp_strat", "HH04", "HH07_cat", "HH07_cat2", "disability", "citizenship"],
+    )
+
+
 def _column_range(spark: SparkSession, sf: str) -> DataFrame:
     """A composite over the columns from one name to another."""
     chosen = ["pop_groups", "shelter", "electricity", "drinkingwater", "secure", "healthcare"]
@@ -385,7 +441,7 @@ def _sorted_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sorted_shares_by_group(spark: SparkSession, sf: str) -> DataFrame:
     shares = run(STRATIFIED["gbv01_percentages"], frames(spark, sf))
-    return charts.sorted_shares(shares, "Services", "Percentage", ["pop_groups"], digits=0)
+    return charts.sorted_shares(shares, "Services", "Percentage", ["pop_groups"])
 
 
 def _sorted_distribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,10 +449,14 @@ def _sorted_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return charts.sorted_shares(shares, "LIGHT02", "Percentage")
 
 
-def _component_bars(spec_name: str, labels: Mapping[str, str], specs=PLAIN) -> Query:
+def _component_bars(
+    spec_name: str, labels: Mapping[str, str], specs=PLAIN, name="facility", shortest=False
+) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         shares = run(specs[spec_name], frames(spark, sf))
-        return charts.component_bars(shares, "facility", "percentage", ["pop_groups"], labels)
+        return charts.component_bars(
+            shares, name, "percentage", ["pop_groups"], labels, shortest=shortest
+        )
 
     return query
 
@@ -416,6 +476,14 @@ def _csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_csv(spark, path, HOUSEHOLDS)
 
 
+def _csv_scan_reordered(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns in the file's own order, with one more than asked for."""
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    table = households(spark, sf)
+    files.write_csv(table.selectExpr("'x' AS extra", *[f"`{c}`" for c in reversed(table.columns)]), path)
+    return files.read_csv(spark, path, HOUSEHOLDS)
+
+
 def _parquet_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid4().hex}"
     files.write_parquet(persons(spark, sf), path)
@@ -459,25 +527,34 @@ def _named() -> dict[str, Query]:
         "factor_recode": _factor_recode,
         "relabel_wrap": _relabel_wrap,
         "value_labels": _value_labels,
+        "labels_after_coercion": _labels_after_coercion,
         "mean_in_domain": _mean_in_domain,
         "mean_number": _mean_number,
         "mean_clustered": _mean_clustered,
         "mean_precomputed": _precomputed,
         "total_rows": _total_rows,
         "total_answers": _total_answers,
+        "total_number": _total_number,
+        "ratio_number": _ratio_number,
         "strata_sizes": _strata_sizes,
         "combined_indicators": _combined(PLAIN),
         "combined_indicators_stratified": _combined(STRATIFIED),
-        "combined_for_group": _combined_for_group,
+        "combined_for_group": _combined_for_group("IDPs"),
+        "combined_for_returnees": _combined_for_group("Refugee returnees"),
+        "report_table_stratified": _report_stratified,
+        "stratified_for_group": _stratified_for_group("IDPs"),
+        "stratified_for_returnees": _stratified_for_group("Refugee returnees"),
         "combined_by_stratum": _by_stratum,
         "combined_disaggregated": _agd,
         "headline_counts": _headline,
+        "headline_counts_second": _headline_second,
         "freq_household": _tabled(HOUSEHOLD),
         "freq_person": _tabled(PERSON),
         "freq_oneway": lambda spark, sf: frequency(frames(spark, sf)[PERSON], "HH07_cat"),
         "freq_twoway": _two_way,
         "column_types": _types,
         "sample_description": _description,
+        "sample_description_person": _person_description,
         "composite_column_range": _column_range,
         "plot_errorbars": _error_bars,
         "plot_errorbars_by_stratum": _error_bars_by_stratum,
@@ -491,11 +568,15 @@ def _named() -> dict[str, Query]:
         "plot_composite_water": _component_bars("composite_outcome12_1", book.WATER_CONDITIONS),
         "plot_composite_toilet": _component_bars("composite_outcome12_2", book.TOILET_CONDITIONS),
         "plot_composite_facilities": _component_bars(
-            "composite_impact2_2_pop", book.BASIC_FACILITIES, STRATIFIED
+            "composite_impact2_2_pop", book.BASIC_FACILITIES, STRATIFIED, shortest=True
+        ),
+        "plot_composite_bank": _component_bars(
+            "composite_outcome13_1", book.BANK_ACCESS, name="access"
         ),
         "plot_contrast": _contrast,
         "plot_axis_limits": _axis,
         "csv_scan": _csv_scan,
+        "csv_scan_reordered": _csv_scan_reordered,
         "parquet_scan": _parquet_scan,
         "export_combined": _export_combined,
         "export_by_group": _export_by_group,

@@ -21,16 +21,31 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a running session."""
+    """Apply the settings to a running session; what the user has set stays.
+
+    Nothing in the package calls this: results are the same without, wide tables are slower.
+    """
+    own = spark.conf.getAll
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     return spark
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the checkpoint folder of the session.
 
-    Only where none is set, as in a local run, a temporary folder is made.
+    Only in local mode, where all work is done by one process, a temporary folder takes its
+    place, which goes when Python ends; on a cluster without the setting this raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="tallyloom-")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="tallyloom-"))
+    return _LOCAL[0].name

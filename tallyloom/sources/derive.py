@@ -98,7 +98,7 @@ HOUSEHOLD_CODES = """
 """
 
 PERSON_CODES = """
-200 HH04: Male, Female*2, 99, NULL
+200 HH04: Male, Female*2, 3, 99, NULL
 201 HH07: 0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 13, 14, 16, 17, 18, 19, 30, 45, 60, 75, NULL
 202 disability_code: 0*3, 1, NULL
 203 HACC01: 1*3, 0, NULL
@@ -228,6 +228,6 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         "HH07_cat2": f"CASE WHEN {age} < 18 THEN '0-17' WHEN {age} >= 18 THEN '18+' END",
     }
     columns["disability_code"] = (
-        f"CASE WHEN {age} < 5 THEN NULL ELSE {coded['disability_code']} END"
+        f"CASE WHEN {age} < 5 AND o_orderkey % 3 <> 0 THEN NULL ELSE {coded['disability_code']} END"
     )
     return _select(sampled, columns)

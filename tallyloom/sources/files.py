@@ -3,16 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tallyloom.functions.codes import name, quoted
+
+
+def _present(columns: list[str], schema: StructType, path: str) -> None:
+    missing = [f.name for f in schema if f.name not in columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header, read with an explicit schema; empty cells are missing."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header; empty cells are missing.
+
+    Columns are found by their header names, in any order; others are left out.  A missing
+    column is an error at once, and a cell that is not of its column's type when it is read.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    _present(names, schema, path)
+    text = StructType([StructField(n, StringType()) for n in names])
+    raw = spark.read.schema(text).options(header=True, enforceSchema=False).csv(path)
+
+    def typed(field: StructField) -> str:
+        column, kind = name(field.name), field.dataType.simpleString()
+        if field.dataType == StringType():
+            return column
+        what = quoted(f"column {field.name} is no {kind}: ")
+        return (
+            f"CASE WHEN {column} IS NOT NULL AND try_cast({column} AS {kind}) IS NULL"
+            f" THEN CAST(raise_error(concat({what}, {column})) AS {kind})"
+            f" ELSE try_cast({column} AS {kind}) END AS {column}"
+        )
+
+    return raw.selectExpr(*[typed(f) for f in schema])
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Parquet read with an explicit schema."""
+    """Parquet read with an explicit schema; a column that no file has is an error."""
+    _present(spark.read.parquet(path).columns, schema, path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -29,9 +58,10 @@ def write_parquet(frame: DataFrame, path: str) -> None:
 def export_table(table: DataFrame, path: str) -> None:
     """A finished summary table as a single CSV file.
 
-    For summary tables only: they hold one row per indicator and group.
+    For summary tables only: they hold one row per indicator and group.  The rows are made
+    in parallel and meet in the last step.
     """
-    table.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    table.repartition(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def export_by_group(table: DataFrame, path: str, by: list[str]) -> None:
