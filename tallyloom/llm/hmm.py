@@ -89,6 +89,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     )
 
 
+def _cutoff(counts: DataFrame) -> int:
+    """A count that at most TOP words exceed, from a histogram on a logarithmic scale."""
+    level = F.floor(F.log2("n") * 32).alias("level")
+    levels = counts.groupBy(level).agg(F.count("*").alias("words"), F.max("n").alias("n")).collect()
+    room = TOP
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        room -= r["words"]
+        if room < 0:
+            return r["n"]
+    return 0
+
+
 class Symbols:
     """The bounded tables: top words with their counts, symbols and symbol masses."""
 
@@ -100,18 +112,19 @@ class Symbols:
         self.discount = total[2] / (total[2] + 2 * total[3]) if total[2] and total[3] else 0.5
         n_all = max(1, self.tokens)
         free = self.discount * self.types / n_all if self.tokens else 1.0
-        first = counts.orderBy(F.desc("n"), "word").limit(TOP + 1).toArrow()
-        top, n = first.column("word").to_pylist(), first.column("n").to_pylist()
         #: words counted at most so often are not in the top list
-        self.cutoff = n[-1] if len(n) > TOP else 0
-        kept = next((i for i, x in enumerate(n) if x <= self.cutoff), len(n))
-        self.index = {bytes(w): i for i, w in enumerate(top[:kept])}
-        times = np.array(n[:kept], np.float64)
+        self.cutoff = _cutoff(counts)
+        first = counts.where(F.col("n") > self.cutoff).toArrow()
+        pairs = zip(first.column("n").to_pylist(), first.column("word").to_pylist(), strict=True)
+        top = sorted((-n, bytes(w)) for n, w in pairs)
+        kept = len(top)
+        self.index = {w: i for i, (_, w) in enumerate(top)}
+        times = np.array([-n for n, _ in top], np.float64)
         self.log_base = np.log10((times + 1) / self.denominator)
         self.log_own = np.log10((times - self.discount) / n_all)
         own = min(kept, WORDS)
         self.symbol = np.array(
-            [i if i < own else WORDS + word_class(bytes(w)) for i, w in enumerate(top[:kept])], np.uint16
+            [i if i < own else WORDS + word_class(w) for i, (_, w) in enumerate(top)], np.uint16
         )
         self.mass = np.full(WORDS + CLASSES, 1e-300)
         np.add.at(self.mass, self.symbol, 10**self.log_own)
