@@ -44,6 +44,9 @@ WIDTH = 5
 BUCKETS = 384
 MISSED = 1e-5
 MANTISSA = 10
+#: Bits of a value within its bucket, and turns of hashing at most.
+REST = 46
+LAST_TURN = 510
 #: Links are 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Standard deviations of the estimate below the threshold that are still confirmed.
@@ -70,43 +73,54 @@ def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     width = min(WIDTH, len(h))
     out = np.full(len(h) - width + 1, np.uint64(width))
     for i in range(width):
-        out = mixed(out * _WORD_SEED + h[i : len(h) - width + 1 + i])
-    return np.unique(out)
+        out = out * _WORD_SEED + h[i : len(h) - width + 1 + i]
+    return np.unique(mixed(out))
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a non-empty sorted set of hashes."""
-    registers = np.zeros(BUCKETS, np.uint16)
+    """HyperMinHash registers of a non-empty set of hashes.
+
+    A bucket's register comes from the first turn of hashing that hits it, and there from the
+    smallest value.  Turns are taken several at a time, about as many as fill all buckets; that
+    number doesn't change the result.
+    """
+    first = np.zeros(BUCKETS, np.uint64)
     empty = np.ones(BUCKETS, bool)
-    values = mixed(items)
-    for turn in range(BUCKETS):
-        # the bucket is the high part of value x BUCKETS, the rest decides within it
+    turn, ahead = 0, max(1, min(BUCKETS, 3000 // len(items)))
+    while empty.any():
+        turns = np.arange(turn, turn + ahead, dtype=np.uint64)
+        values = mixed(items[None, :] + (turns[:, None] + np.uint64(1)) * _WORD_SEED)
+        # the high half chooses the bucket; the low half, mixed again, decides within it
         bucket = ((values >> np.uint64(32)) * np.uint64(BUCKETS)) >> np.uint64(32)
-        rest = mixed(values + np.uint64(turn + 1))
-        key = np.sort((bucket << np.uint64(55)) | (rest >> np.uint64(9)))
-        b = (key >> np.uint64(55)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        take = first[empty[b[first]]]
-        registers[b[take]] = _register(key[take] << np.uint64(9), turn)
-        empty[b[take]] = False
-        if not empty.any():
-            return registers
-        values = mixed(values ^ _WORD_SEED)
-    # a round for each bucket, as the last resort of very small sets
-    for bucket in np.flatnonzero(empty):
-        rest = mixed(items ^ mixed(np.array([bucket + 7], np.uint64)))
-        registers[bucket] = _register(rest[[rest.argmin()]], BUCKETS)[0]
-    return registers
-
-
-def _register(value: np.ndarray, turn: int) -> np.ndarray:
-    """Leading zeros and the bits after the leading one of 64-bit values, in 16 bits."""
-    # exact for the leading zeros: only the top 53 bits are converted
-    exponent = np.frexp((value >> np.uint64(11)).astype(np.float64))[1]
-    zeros = np.minimum(53 - exponent, 52)
-    after = (value << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    after ^= np.uint64(turn * 0x2D5 & ((1 << MANTISSA) - 1))
-    return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | after.astype(np.uint16)
+        rest = (values * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - REST)
+        key = (bucket << np.uint64(55)) | (turns[:, None] % np.uint64(512) << np.uint64(REST)) | rest
+        key = np.sort(key, axis=None)
+        at = (key >> np.uint64(55)).astype(np.int64)
+        lead = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        take = lead[empty[at[lead]]]
+        first[at[take]] = key[take]
+        empty[at[take]] = False
+        turn += ahead
+        if turn + ahead > LAST_TURN:
+            break
+    # very small sets: what no turn has hit takes a turn of its own
+    for bucket in np.flatnonzero(empty).tolist():
+        rest = mixed(items ^ mixed(np.array([bucket + 7], np.uint64))) >> np.uint64(64 - REST)
+        first[bucket] = np.uint64(511 << REST) | rest.min()
+    return _register(first)
+
+
+def _register(key: np.ndarray) -> np.ndarray:
+    """Leading zeros of the value and the bits after its leading one, in 16 bits.
+
+    The turn is mixed into the bits, so that values of different turns don't agree.
+    """
+    value = key & np.uint64((1 << REST) - 1)
+    turn = key >> np.uint64(REST) & np.uint64(511)
+    bits = np.frexp(value.astype(np.float64))[1]
+    after = (value << (np.int64(64 + 1) - bits).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
+    after = np.where(bits > 0, after, 0).astype(np.uint64) ^ (turn * np.uint64(0x2D5) & np.uint64((1 << MANTISSA) - 1))
+    return ((REST - bits).astype(np.uint16) << np.uint16(MANTISSA)) | after.astype(np.uint16)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
