@@ -20,6 +20,7 @@ TABLES = ["customer", "orders"]
 
 KINDS = {
     "BIGINT": "whole",
+    "BOOLEAN": "boolean",
     "INTEGER": "whole",
     "HUGEINT": "whole",
     "bigint": "whole",
