@@ -38,14 +38,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in the place of each secret; n_chars follows."""
     versions = secret_scan.versions_of(docs, "doc_id", "text")
     found, _ = secret_scan.scan(versions)
-    marked = docs.withColumn("_blob", F.sha2("text", 256)).join(
-        found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).hint("shuffle_hash"), "_blob", "left"
+    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    marked = docs.withColumn("_blob", F.sha2("text", 256)).join(found.hint("shuffle_hash"), "_blob", "left")
+    hit = F.col("_spans").isNotNull()
+    # step by step: within one select, lambdas would take the new text for the old
+    marked = marked.withColumn(
+        "_new", F.when(hit, secret_scan.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        secret_scan.redacted(F.col("text"), F.col("_spans"))
+    marked = marked.withColumn(
+        "n_chars", F.when(hit, F.length("_new").cast("long")).otherwise(F.col("n_chars"))
     )
-    n_chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return marked.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+    return marked.withColumn("text", F.col("_new")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
