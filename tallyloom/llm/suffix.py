@@ -325,8 +325,9 @@ def repeated(docs: DataFrame, scratch: Scratch, run: int = RUN, bucket: int = BU
         .agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
         .where("n > 1")
     )
-    shared = occurrences.join(shared.select("gram", (F.col("lo") != F.col("hi")).alias("varied")), "gram")
-    shared = scratch.save(shared, "shared")
+    # written before the join: between two plain exchanges Spark can split a frequent gram
+    grams = scratch.save(shared.select("gram", (F.col("lo") != F.col("hi")).alias("varied")), "grams")
+    shared = scratch.save(occurrences.join(grams, "gram"), "shared")
     scratch.drop(occurrences)
     one = F.struct("k1", "k2", "pos", "back", "ahead")
     contexts = scratch.save(
