@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from tallyloom.functions.codes import name as column_name
 from tallyloom.functions.labels import relabel
 from tallyloom.functions.text import percent_label, rounded_percent_label, wrap_words
 
@@ -13,7 +14,7 @@ from tallyloom.functions.text import percent_label, rounded_percent_label, wrap_
 def error_bars(means: DataFrame, by: Sequence[str]) -> DataFrame:
     """Bars of means with one standard error to each side and a rounded label."""
     return means.selectExpr(
-        *by,
+        *map(column_name, by),
         "var_name",
         "mean_value",
         "mean_value - mean_value_se AS bar_low",
@@ -25,9 +26,9 @@ def error_bars(means: DataFrame, by: Sequence[str]) -> DataFrame:
 def facets(means: DataFrame, x: str, fill: str, facet: Sequence[str]) -> DataFrame:
     """Bars of means laid out by facet, x position and fill."""
     return means.selectExpr(
-        *[f"{c} AS facet_{i}" for i, c in enumerate(facet, start=1)],
-        f"{x} AS x",
-        f"{fill} AS fill",
+        *[f"{column_name(c)} AS facet_{i}" for i, c in enumerate(facet, start=1)],
+        f"{column_name(x)} AS x",
+        f"{column_name(fill)} AS fill",
         "mean_value AS y",
         "format_string('%.2f', round(mean_value, 2)) AS label",
     )

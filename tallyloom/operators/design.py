@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.codes import name
+
 
 @dataclass(frozen=True)
 class SurveyDesign:
@@ -31,20 +33,20 @@ class SurveyDesign:
     def __post_init__(self) -> None:
         if self.lonely not in ("fail", "zero"):
             raise ValueError(f"lonely must be 'fail' or 'zero', not {self.lonely!r}")
-        for name in (self.weight, self.strata, self.psu):
-            if name is not None and name not in self.frame.columns:
-                raise ValueError(f"no column {name!r} in the design frame")
+        for column in (self.weight, self.strata, self.psu):
+            if column is not None and column not in self.frame.columns:
+                raise ValueError(f"no column {column!r} in the design frame")
 
     def derive(self, **columns: str) -> SurveyDesign:
         """The same design with derived columns, given as SQL expressions."""
-        kept = [c for c in self.frame.columns if c not in columns]
-        derived = [f"{text} AS {name}" for name, text in columns.items()]
+        kept = [name(c) for c in self.frame.columns if c not in columns]
+        derived = [f"{text} AS {name(c)}" for c, text in columns.items()]
         return replace(self, frame=self.frame.selectExpr(*kept, *derived))
 
     def strata_sizes(self) -> DataFrame:
         """Number of sampling units in every stratum of the full design."""
-        stratum = F.col(self.strata) if self.strata else F.lit(None).cast("string")
+        stratum = F.col(name(self.strata)) if self.strata else F.lit(None).cast("string")
         units = self.frame.groupBy(stratum.alias("stratum"))
         if self.psu is None:
             return units.agg(F.count(F.lit(1)).alias("n_h"))
-        return units.agg(F.count_distinct(F.col(self.psu)).alias("n_h"))
+        return units.agg(F.count_distinct(F.col(name(self.psu))).alias("n_h"))

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.codes import name as column_name
 from tallyloom.functions.codes import quoted
 from tallyloom.functions.tquantile import t_quantile
 from tallyloom.operators.design import SurveyDesign
@@ -85,9 +86,8 @@ def _aggregate(frame: DataFrame, by: Sequence[str], sums: Sequence[str]) -> Data
     return frame.groupBy(*by).agg(*[F.expr(s) for s in sums])
 
 
-def _measure_sums(tag: str, measure: Measure, weight: str | None) -> list[str]:
-    """Aggregates of one measure; some coincide for unweighted or 0/1 data."""
-    y = f"CAST({measure.column} AS DOUBLE)"
+def _measure_sums(tag: str, y: str, measure: Measure, weight: str | None) -> list[str]:
+    """Aggregates of one measure, found in column y; some coincide for unweighted or 0/1 data."""
     if measure.center:
         y = f"({y} - {measure.center}D)"
     square = not measure.binary or measure.center
@@ -128,7 +128,9 @@ class _Pass:
         self.design = design
         self.requests = list(requests)
         self.by = _distinct(k for r in self.requests for k in r.by)
+        # inside the pass all columns have names of its own, so any name can be a key
         self.keys = [f"k{i}" for i in range(len(self.by))]
+        self.shown = [f"{k} AS {column_name(c)}" for k, c in zip(self.keys, self.by)]
         self.wheres = _distinct(r.where for r in self.requests)
         self.weights = _distinct(r.weight for r in self.requests)
         self.measures = _distinct((r.measure, r.weight) for r in self.requests)
@@ -140,24 +142,27 @@ class _Pass:
         """One record per combination of keys, domain flags, stratum (and unit)."""
         d = self.design
         flags = {f"in{i}": f"coalesce({w}, false)" for i, w in enumerate(self.wheres) if w}
-        keys = dict(zip(self.keys, self.by))
+        keys = {k: column_name(c) for k, c in zip(self.keys, self.by)}
         if self.shared and flags:
             keys = {k: f"CASE WHEN {flags['in0']} THEN {c} END" for k, c in keys.items()}
         group = {**keys, **flags}
         if d.strata:
-            group["stratum"] = d.strata
+            group["stratum"] = column_name(d.strata)
         if d.psu:
-            group["psu"] = d.psu
-        columns = _distinct(
-            [m.column for m, _ in self.measures] + [w for w in self.weights if w is not None]
-        )
-        rows = d.frame.selectExpr(*columns, *[f"{text} AS {n}" for n, text in group.items()])
+            group["psu"] = column_name(d.psu)
+        columns = _distinct(m.column for m, _ in self.measures)
+        values = {c: f"y{i}" for i, c in enumerate(columns)}
+        weights = {w: f"u{i}" for i, w in enumerate(self.weights) if w is not None}
+        named = {y: f"CAST({column_name(c)} AS DOUBLE)" for c, y in values.items()}
+        named |= {u: column_name(w) for w, u in weights.items()}
+        rows = d.frame.selectExpr(*[f"{text} AS {n}" for n, text in (named | group).items()])
         sums = ["count(1) AS n"]
         for i, w in enumerate(self.weights):
             if w is not None:
-                sums += [f"sum({w}) AS w{i}", f"sum({w} * {w}) AS ww{i}"]
+                u = weights[w]
+                sums += [f"sum({u}) AS w{i}", f"sum({u} * {u}) AS ww{i}"]
         for i, (m, w) in enumerate(self.measures):
-            sums += _measure_sums(f"m{i}", m, w)
+            sums += _measure_sums(f"m{i}", values[m.column], m, weights.get(w))
         return _aggregate(rows, list(group), sums)
 
     def _cell(self, number: int, request: _Request) -> dict[str, str]:
@@ -264,7 +269,7 @@ class _Pass:
             out = _aggregate(out, ["request", *self.keys], totals)
         return out.selectExpr(
             "request",
-            *[f"{k} AS {c}" for k, c in zip(self.keys, self.by)],
+            *self.keys,
             *["n", "w", "v_w", "a", "v_a", "b", "v_b", "c_ab"],
             "sum(units - strata) OVER (PARTITION BY request) AS df",
         )
@@ -319,7 +324,7 @@ def mean_tables(
     center = _choice([f"{float(t.center)!r}D" for t in tables])
     columns = {
         "table": _choice([quoted(t.name) for t in tables]),
-        **{k: k for k in one_pass.by},
+        **dict(zip(one_pass.by, one_pass.keys)),
         "var_name": _choice([quoted(t.var_name or t.column) for t in tables]),
         "num_obs_uw": num_obs,
     }
@@ -336,14 +341,14 @@ def mean_tables(
     columns["mean_value"] = f"{_MEAN} + {center}"
     half = f"{t_quantile('df', (1 + level) / 2)} * mean_value_se"
     out = one_pass.groups().selectExpr(
-        *[f"{text} AS {name}" for name, text in columns.items()],
+        *[f"{text} AS {column_name(c)}" for c, text in columns.items()],
         f"{_MEAN_SE} AS mean_value_se",
         "df",
     )
     interval = [f"mean_value - {half} AS mean_value_low", f"mean_value + {half} AS mean_value_upp"]
     cv = ["try_divide(mean_value_se, mean_value) AS mean_value_cv"]
     return out.selectExpr(
-        *columns, *interval, "mean_value_se", *(cv if any(t.cv for t in tables) else [])
+        *map(column_name, columns), *interval, "mean_value_se", *(cv if any(t.cv for t in tables) else [])
     )
 
 
@@ -374,17 +379,14 @@ def total_table(
     source = design if column else design.derive(one="1D")
     measure = Measure(column or "one", binary or column is None)
     request = _Request(measure, tuple(by), where, design.weight)
-    return (
-        _Pass(source, [request])
-        .groups()
-        .selectExpr(
-            *by,
-            f"{quoted(column or ROWS)} AS var_name",
-            "n AS num_obs_uw",
-            "b AS total",
-            f"{_total_se('b')} AS total_se",
-            "a AS answered",
-        )
+    one_pass = _Pass(source, [request])
+    return one_pass.groups().selectExpr(
+        *one_pass.shown,
+        f"{quoted(column or ROWS)} AS var_name",
+        "n AS num_obs_uw",
+        "b AS total",
+        f"{_total_se('b')} AS total_se",
+        "a AS answered",
     )
 
 
@@ -418,17 +420,19 @@ def ratio_table(
         f"{base}_total": (1, "b"),
     }
     sums = []
-    for name, (request, total) in totals.items():
-        sums.append(f"max(CASE WHEN request = {request} THEN {total} END) AS {name}")
+    for shown, (request, total) in totals.items():
+        value = f"CASE WHEN request = {request} THEN {total} END"
+        sums.append(f"max({value}) AS {column_name(shown)}")
         se = f"CASE WHEN request = {request} THEN {_total_se(total)} END"
-        sums.append(f"max({se}) AS {name}_se")
-    wide = _aggregate(_Pass(design, requests).groups(), by, sums)
-    value = f"try_divide({numerator}_total, {base}_total)"
+        sums.append(f"max({se}) AS {column_name(f'{shown}_se')}")
+    one_pass = _Pass(design, requests)
+    wide = _aggregate(one_pass.groups(), one_pass.keys, sums)
+    top, bottom = (column_name(f"{c}_total") for c in (numerator, base))
     return wide.selectExpr(
-        *by,
+        *one_pass.shown,
         f"{quoted(var_name)} AS var_name",
-        *wide.columns[len(by) :],
-        f"round({value}, {digits}) AS mean_value",
+        *map(column_name, wide.columns[len(by) :]),
+        f"round(try_divide({top}, {bottom}), {digits}) AS mean_value",
     )
 
 
@@ -465,10 +469,9 @@ def indicator_tables(
         places.append(len(requests))
         requests += [_Request(m, tuple(t.by), t.where, w) for m in measures]
     one_pass = _Pass(design, requests)
-    by = one_pass.by
     wide = one_pass.groups()
     if len(requests) > len(tables):
-        wide = _beside(wide, by, tables, [int(p in places) for p in range(len(requests))])
+        wide = _beside(wide, one_pass.keys, tables, [int(p in places) for p in range(len(requests))])
     none = "CAST(NULL AS DOUBLE)"
     columns: dict[str, list[str]] = {}
 
@@ -500,9 +503,9 @@ def indicator_tables(
             put(f"{t.base}_total_se", i, _total_se("b", "base_"))
             put("mean_value", i, f"round(try_divide(b, base_b), {t.digits})")
     return wide.selectExpr(
-        *by,
+        *one_pass.shown,
         f"{_choice([quoted(t.name) for t in tables])} AS var_name",
-        *[f"{_switch(texts)} AS {name}" for name, texts in columns.items()],
+        *[f"{_switch(texts)} AS {column_name(c)}" for c, texts in columns.items()],
     )
 
 

@@ -46,18 +46,28 @@ def component_shares(
     with ``unlisted="keep"``.  Columns in ``keep`` are averaged too but stay beside
     the rows instead of becoming rows.
     """
-    values = {c: c if equals is None else f"CAST({c} = {equals} AS DOUBLE)" for c in columns}
-    values |= {c: c if equals is None else f"CAST({c} = {equals} AS DOUBLE)" for c in keep}
+    def value(column: str) -> str:
+        return name(column) if equals is None else f"CAST({name(column)} = {equals} AS DOUBLE)"
+
     rows = frame if where is None else frame.where(where)
-    shares = [F.expr(f"{_share(v, weight)} AS share_{c}") for c, v in values.items()]
-    wide = rows.groupBy(*by).agg(*shares)
-    pairs = ", ".join(f"struct({quoted(c)} AS name, share_{c} AS share)" for c in columns)
-    kept = [f"share_{c} AS {c}" for c in keep]
-    tall = wide.selectExpr(*by, *kept, f"inline(array({pairs}))")
-    shown = "name"
+    weight = weight and name(weight)
+    # names of its own beside the keys, so any name can be a key
+    places = {c: f"__share{i}" for i, c in enumerate([*columns, *keep])}
+    shares = [F.expr(f"{_share(value(c), weight)} AS {p}") for c, p in places.items()]
+    keys = [name(c) for c in by]
+    wide = rows.groupBy(*keys).agg(*shares)
+    pairs = ", ".join(f"struct({quoted(c)} AS __name, {places[c]} AS __share)" for c in columns)
+    kept = [f"{places[c]} AS {name(c)}" for c in keep]
+    tall = wide.selectExpr(*keys, *kept, f"inline(array({pairs}))")
+    shown = "__name"
     if labels is not None:
-        shown = relabel("name", labels) if unlisted == "keep" else code_label("name", labels)
-    return tall.selectExpr(*by, *keep, f"{shown} AS {names_to}", f"share AS {values_to}")
+        shown = relabel(shown, labels) if unlisted == "keep" else code_label(shown, labels)
+    return tall.selectExpr(
+        *keys,
+        *map(name, keep),
+        f"{shown} AS {name(names_to)}",
+        f"__share AS {name(values_to)}",
+    )
 
 
 def distribution(
@@ -75,27 +85,28 @@ def distribution(
     With ``label_first`` codes without a label are dropped before counting;
     otherwise they are counted and end up with a missing label.
     """
-    code = F.expr(number_label(column, labels)) if label_first else F.col(column)
-    rows = frame.select(*by, code.alias(column))
+    keys = [name(c) for c in by]
+    code = F.expr(number_label(name(column), labels)) if label_first else F.col(name(column))
+    rows = frame.select(*keys, code.alias("__code"))
     if skip_missing:
-        rows = rows.where(F.col(column).isNotNull())
-    counts = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias(count_name))
-    group = f"PARTITION BY {', '.join(by)}" if by else ""
-    shown = column
+        rows = rows.where("__code IS NOT NULL")
+    counts = rows.groupBy(*keys, "__code").agg(F.count(F.lit(1)).alias("__n"))
+    group = f"PARTITION BY {', '.join(keys)}" if by else ""
+    shown = "__code"
     if labels is not None and not label_first:
-        shown = f"{number_label(column, labels)} AS {column}"
+        shown = number_label(shown, labels)
     return counts.selectExpr(
-        *by,
-        shown,
-        count_name,
-        f"{count_name} / sum({count_name}) OVER ({group}) * 100 AS {share_name}",
+        *keys,
+        f"{shown} AS {name(column)}",
+        f"__n AS {name(count_name)}",
+        f"__n / sum(__n) OVER ({group}) * 100 AS {name(share_name)}",
     )
 
 
 def frequency(frame: DataFrame, column: str) -> DataFrame:
     """Number of rows per value, missing values left out."""
-    rows = frame.where(F.col(column).isNotNull())
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    rows = frame.where(F.col(name(column)).isNotNull())
+    return rows.groupBy(name(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequencies(
@@ -109,9 +120,9 @@ def frequencies(
     types = dict(frame.dtypes)
     cells, texts = [], []
     for i, c in enumerate(columns):
-        number, text = ("CAST(NULL AS DOUBLE)", f"CAST({c} AS STRING)")
+        number, text = ("CAST(NULL AS DOUBLE)", f"CAST({name(c)} AS STRING)")
         if types[c] == "double":
-            number, text = (c, "CAST(NULL AS STRING)")
+            number, text = (name(c), "CAST(NULL AS STRING)")
         cells.append(f"struct({i} AS place, {number} AS number, {text} AS text)")
         texts.append(quoted(c))
     answers = frame.selectExpr(f"inline(array({', '.join(cells)}))")

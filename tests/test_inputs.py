@@ -9,6 +9,7 @@ from tallyloom import session
 from tallyloom.functions.labels import attach_labels, read_labels
 from tallyloom.operators import SurveyDesign, mean_table
 from tallyloom.operators.estimate import ratio_table, total_table
+from tallyloom.operators.profile import component_shares, distribution
 from tallyloom.plans.rules import RuleOptions, household_indicators, numeric_answers
 from tallyloom.sources import files
 from tallyloom.sources.derive import households
@@ -118,3 +119,24 @@ def test_files_need_a_shared_folder_on_a_cluster(spark):
     if unset is None:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session.shared_folder(Cluster)
+
+
+def test_any_name_can_be_a_key_or_a_measure(spark):
+    rows = [(("x", "y")[i % 2], ("p", "q")[i % 3 % 2], float(i % 2), float(i), 1.5, f"s{i % 2}") for i in range(40)]
+    names = ["age band", "request", "n", "total value", "the weight", "stratum"]
+    frame = spark.createDataFrame(rows, names)
+    design = SurveyDesign(frame, weight="the weight", strata="stratum")
+    means = mean_table(design, "n", ["age band", "request"]).collect()
+    assert len(means) == 4 and {r["age band"] for r in means} == {"x", "y"}
+    totals = {r["request"]: r.total for r in total_table(design, ["request"], "total value").collect()}
+    expected = {k: 1.5 * sum(r[3] for r in rows if r[1] == k) for k in "pq"}
+    assert totals == pytest.approx(expected)
+    ratio = ratio_table(design, "n", "total value", ["age band"], "r").collect()
+    assert {r["age band"]: r["total value_total"] for r in ratio} == pytest.approx(
+        {k: 1.5 * sum(r[3] for r in rows if r[0] == k) for k in "xy"}
+    )
+    shares = component_shares(frame, ["n", "total value"], ["age band"], equals=1, weight="the weight")
+    assert shares.count() == 4
+    assert {r["age band"]: r["n"] for r in distribution(frame, "age band").collect()} == {"x": 20, "y": 20}
+    shown = distribution(frame, "n", ["request"], count_name="times")
+    assert shown.where("n IS NOT NULL").count() == 4
