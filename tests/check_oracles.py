@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-TABLES = ["customer", "orders"]
-
 KINDS = {
     "BIGINT": "whole",
     "BOOLEAN": "boolean",
@@ -34,8 +32,8 @@ KINDS = {
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
@@ -92,7 +90,7 @@ def main(sf_dir: str, parts: list[str]) -> int:
     oracles = contract.oracle_sql()
     failed = 0
     for name, query in contract.queries().items():
-        if parts and not any(p in name for p in parts):
+        if name not in oracles or (parts and not any(p in name for p in parts)):
             continue
         start = time.time()
         try:
