@@ -143,8 +143,8 @@ def read_back(formatted: str) -> list[tuple[str, list[dict], str]]:
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 FORMATTED = (
-    "formatted string, loss_start int, loss_end int, tokens long, "
-    "attachments array<struct<kind:string,ref:string,offset:int,tokens:int>>"
+    "struct<formatted:string,loss_start:int,loss_end:int,tokens:bigint,"
+    "attachments:array<struct<kind:string,ref:string,offset:int,tokens:int>>>"
 )
 
 
@@ -154,7 +154,7 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
     ``loss_start`` and ``loss_end`` bound the text under the mask, in code points of
     ``formatted`` (both 0 for roles not learnt); ``tokens`` counts what placeholders expand to.
     """
-    @F.pandas_udf(f"struct<{FORMATTED.replace(' string', ':string').replace(' int', ':int').replace(' long', ':long').replace('attachments array', 'attachments:array')}>")
+    @F.pandas_udf(FORMATTED)
     def run(role: pd.Series, parts: pd.Series) -> pd.DataFrame:
         rows = []
         for r, p in zip(role, parts, strict=True):
