@@ -57,8 +57,10 @@ def test_chains_of_links_and_a_repeated_id(spark):
     assert len({got[i] for i, _ in rows[:12]}) == 1 and got[501] == 499
 
 
-def test_second_pass_finds_links_the_first_leader_lacks(spark):
+@pytest.mark.parametrize("crowd", [minhash.CROWD, 2])
+def test_second_pass_finds_links_the_first_leader_lacks(spark, monkeypatch, crowd):
     """Two groups that share buckets with a smaller class that is like neither."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     base = [f"w{i}" for i in range(400)]
     rows = [(1, " ".join(base[:300]))]
     for g in range(2):
