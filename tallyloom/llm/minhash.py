@@ -16,10 +16,7 @@ A document's set holds its distinct five-word shingles.
    confirmed on full sets.  The links form components.
 5. Second pass.  Pairs of one bucket that are still in different components are all checked in
    the same way, so no link between different components is lost.  Pairs within a component
-   can't change it.  Sizes too unequal to reach the threshold never form a pair.  Buckets of
-   more than ``CROWD`` members, as a passage in many documents makes them, are first divided
-   by further bands of other registers: a pair at a similarity of 0.8 that one such bucket
-   holds stays together with a probability of 0.998, and it shares a dozen buckets.
+   can't change it.  Sizes too unequal to reach the threshold never form a pair.
 
 Components come from the distributed exchange of smallest labels with shortcuts.
 
@@ -54,10 +51,6 @@ LAST_TURN = 510
 PERCENT = 85
 #: Standard deviations of the estimate below the threshold that are still confirmed.
 SLACK = 6.0
-#: Members of a bucket whose pairs are looked at without a division; sub-bands and their
-#: registers in a division, and divisions at most.
-CROWD = 64
-FINER, FINER_ROWS, LEVELS = 20, 6, 3
 
 _WORD_SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -308,51 +301,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return label
 
 
-def _divided(batches, level: int):
-    """Members of crowded buckets under finer keys: the bucket's with a sub-band's."""
-    order = np.random.default_rng(level).permutation(BUCKETS)[: FINER * FINER_ROWS]
-    for batch in batches:
-        registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16)
-        registers = registers.reshape(batch.num_rows, BUCKETS)[:, order]
-        parts = registers.reshape(batch.num_rows, FINER, FINER_ROWS).astype(np.uint64)
-        band = batch.column("band").to_numpy().view(np.uint64)
-        keys = mixed(band[:, None] + np.arange(FINER, dtype=np.uint64)[None, :] * _WORD_SEED)
-        for i in range(FINER_ROWS):
-            keys = mixed(keys * _WORD_SEED + parts[:, :, i] + np.uint64(1))
-        take = pa.array(np.repeat(np.arange(batch.num_rows), FINER))
-        columns = [batch.column(c).take(take) for c in ("id", "n", "root")]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), *columns], ["band", "id", "n", "root"]
-        )
-
-
-def unsettled(tagged: DataFrame, classes: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """(band, id, n, root) of buckets with several components, crowded ones divided.
-
-    After ``LEVELS`` divisions what is left is taken as it is, so nothing is dropped.
-    """
-    done = []
-    for level in range(LEVELS + 1):
-        several = (
-            tagged.groupBy("band")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
-            .where("lo <> hi")
-        )
-        left = scratch.save(tagged.join(several.select("band", "size"), "band"), "left")
-        if level == LEVELS:
-            done.append(left.drop("size"))
-            break
-        done.append(left.where(F.col("size") <= CROWD).drop("size"))
-        crowd = left.where(F.col("size") > CROWD).drop("size")
-        if crowd.isEmpty():
-            break
-        registers = classes.select(F.col("class").alias("id"), "registers")
-        tagged = crowd.join(registers, "id").mapInArrow(
-            lambda batches, level=level: _divided(batches, level), "band long, id long, n long, root long"
-        )
-    return done
-
-
 def _fits(percent: int):
     """Sizes that can reach the threshold, as a condition on na and nb."""
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
@@ -399,17 +347,17 @@ def cluster(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = N
     tagged = crowded.select("band", F.col("b").alias("id"), "n").join(root, "id", "left").select(
         "band", "id", "n", F.coalesce("root", "id").alias("root")
     )
-    cross = None
-    for left in unsettled(tagged, classes, scratch):
-        other = left.toDF("band", "b", "nb", "rb")
-        part = (
-            left.toDF("band", "a", "na", "ra")
-            .join(other, "band")
-            .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent))
-            .select("a", "b")
-        )
-        cross = part if cross is None else cross.union(part)
-    cross = cross.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    mixed_buckets = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    left = scratch.save(tagged.join(mixed_buckets.select("band"), "band", "left_semi"), "left")
+    other = left.toDF("band", "b", "nb", "rb")
+    cross = (
+        left.toDF("band", "a", "na", "ra")
+        .join(other, "band")
+        .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent))
+        .select("a", "b")
+        .distinct()
+        .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    )
     more = links.confirmed(cross, "second")
     edges = found.union(more)
     # documents of a class, and classes of a repeated doc_id, are linked as well
