@@ -9,7 +9,8 @@
 3. Every document is searched for seeds.  Around the places where an item's seeds occur, the
    item is aligned with the document's words: ``MATCH`` for equal words, ``MISS`` for others,
    ``GAP`` for a word left out or put in.  An alignment with at least ``LEAST`` of the score of
-   a perfect copy is a leak, so edited and reworded copies count.
+   a perfect copy is a leak, so edited and reworded copies count.  What lies left and right of
+   it is aligned again until no part reaches ``LEAST``: each of several copies is a place.
 
 Test items travel to the tasks in slices of at most ``SLICE`` characters, one pass over the
 documents for each: what is broadcast is bounded, whatever the size of the benchmark.
@@ -21,6 +22,9 @@ searched as others; empty tables give no row; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,47 +119,94 @@ class Items:
         return found
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Best local alignment: its score and the end of it in the text.
+def ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Score of the best local alignment that ends at each place of the text.
 
     Row by row; along a row a gap is a running maximum.
     """
     slope = -GAP * np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, np.int64)
-    best, end = 0, 0
+    best = np.zeros(len(text) + 1, np.int64)
     for word in item:
         step = np.where(text == word, MATCH, MISS)
         new = np.maximum(row + GAP, 0)
         new[1:] = np.maximum(new[1:], row[:-1] + step)
         new[0] = 0
         row = np.maximum.accumulate(new + slope) - slope
-        top = int(row.argmax())
-        if row[top] > best:
-            best, end = int(row[top]), top
-    return best, end
+        np.maximum(best, row, out=best)
+    return best
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """Best local alignment: its score and the end of it in the text."""
+    score = ends(item, text)
+    end = int(score.argmax())
+    return int(score[end]), end
+
+
+def extent(item: np.ndarray, text: np.ndarray, score: int) -> int:
+    """Words of the shortest alignment of that score that ends where the text ends."""
+    item, text = item[::-1], text[::-1]
+    slope = -GAP * np.arange(len(text) + 1)
+    row = -slope
+    least = len(text)
+    for word in item:
+        new = row + GAP
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(text == word, MATCH, MISS))
+        # an alignment may end at any word of the item
+        new[0] = 0
+        row = np.maximum.accumulate(new + slope) - slope
+        found = np.flatnonzero(row == score)
+        if len(found):
+            least = min(least, int(found[0]))
+    return least
+
 
+def reach(m: int, least: float) -> int:
+    """Words by which an alignment that is good enough can be longer than its item of m words."""
+    return max(0, math.ceil(MATCH * m * (1 - least) / -GAP))
 
-def leaks(items: Items, text: str | None, least: float = LEAST) -> list[tuple]:
+
+def places(item: np.ndarray, text: np.ndarray, least: float = LEAST) -> list[tuple[int, int, int]]:
+    """(start, end, score) of all alignments that reach ``least`` and don't overlap, in order.
+
+    The best is taken first, then the best of what is left and right of it, and so on.  Only
+    alignments that would begin before the end of a taken one are computed anew.
+    """
+    whole, longest = MATCH * len(item), len(item) + reach(len(item), least)
+    score = ends(item, text)
+    taken: list[tuple[int, int, int]] = []
+    while True:
+        end = int(score.argmax())
+        best = int(score[end])
+        if best <= 0 or best < least * whole:
+            return taken
+        start = end - extent(item, text[max(0, end - longest) : end], best)
+        at = bisect.bisect(taken, (start, end, best))
+        after = min(end + longest, taken[at][0] if at < len(taken) else len(text))
+        taken.insert(at, (start, end, best))
+        score[start + 1 : end + 1] = 0
+        score[end + 1 : after + 1] = ends(item, text[end:after])[1:]
+
+
+def leaks(items: Items, text: str | None, least: float = LEAST):
     """(item_id, similarity, first word, end word) of the items found, places in order."""
     numbers = items.numbers(text)
-    out = []
     for item, begins in sorted(items.hits(numbers).items()):
         words = items.words[item]
         m, whole = len(words), MATCH * len(words)
+        pad = max(PAD + m // 2, reach(m, least))
         begins.sort()
         first = 0
         for i in range(1, len(begins) + 1):
-            # places nearer than the item is long belong to one stretch
-            if i < len(begins) and begins[i] - begins[i - 1] <= m + PAD:
+            # places whose surroundings meet belong to one stretch
+            if i < len(begins) and begins[i] - begins[i - 1] <= m + 2 * pad:
                 continue
-            lo = max(0, begins[first] - PAD - m // 2)
-            part = numbers[lo : begins[i - 1] + m + PAD + m // 2]
+            lo = max(0, begins[first] - pad)
+            part = numbers[lo : begins[i - 1] + m + pad]
             first = i
-            score, end = align(words, part)
-            if score >= least * whole:
-                _, back = align(words[::-1], part[:end][::-1])
-                out.append((items.ids[item], score / whole, lo + end - back, lo + end))
-    return out
+            for start, end, score in places(words, part, least):
+                yield items.ids[item], score / whole, lo + start, lo + end
 
 
 def _slices(benchmark: DataFrame, limit: int):
@@ -243,7 +294,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, limit: in
             items = Items.of(shared.value)
             for batch in batches:
                 texts = batch.column(at).to_pylist()
-                yield batch.filter(pa.array([not leaks(items, t, least) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([next(leaks(items, t, least), None) is None for t in texts], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

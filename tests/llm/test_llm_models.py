@@ -214,6 +214,55 @@ def test_exact_and_edited_leaks(spark, limit):
     assert kept == set(range(60)) - {d for d, _ in expected}
 
 
+def brute_places(item, text, least):
+    """Score and span of the best alignment, then of the best left and right of it, and so on."""
+    h = np.zeros((len(item) + 1, len(text) + 1), int)
+    begin = np.tile(np.arange(len(text) + 1), (len(item) + 1, 1))
+    for i, j in itertools.product(range(len(item)), range(len(text))):
+        step = decontam.MATCH if item[i] == text[j] else decontam.MISS
+        ways = [(0, j + 1), (h[i, j] + step, begin[i, j]), (h[i, j + 1] + decontam.GAP, begin[i, j + 1])]
+        h[i + 1, j + 1], begin[i + 1, j + 1] = max(*ways, (h[i + 1, j] + decontam.GAP, begin[i + 1, j]))
+    end = int(h.max(axis=0).argmax())
+    if h[:, end].max() < max(1, least * decontam.MATCH * len(item)):
+        return []
+    start = max(begin[i, end] for i in np.flatnonzero(h[:, end] == h[:, end].max()))
+    right = [(s + end, e + end, x) for s, e, x in brute_places(item, text[end:], least)]
+    return [*brute_places(item, text[:start], least), (start, end, h[:, end].max()), *right]
+
+
+def test_places_against_the_full_table():
+    rng = np.random.default_rng(9)
+    several = 0
+    for k in range(150):
+        item = rng.permutation(12)[: rng.integers(3, 12)] if k % 2 else rng.integers(0, 4, rng.integers(2, 9))
+        parts = []
+        for _ in range(rng.integers(0, 6)):
+            copy = item.copy()
+            copy[rng.random(len(item)) < 0.15] = -1
+            parts += [copy[rng.random(len(item)) > 0.1], rng.integers(-1, 12, rng.choice([0, 0, 3]))]
+        text = np.concatenate([*parts, rng.integers(-1, 12, 4)])
+        least = float(rng.choice([0.3, 0.5, 0.8]))
+        expected = brute_places(item, text, least)
+        assert decontam.places(item, text, least) == expected
+        several += len(expected) > 2
+    assert several > 20
+
+
+def test_every_copy_is_a_place():
+    words = [f"w{i}" for i in range(30)]
+    edited = [*words[:9], "changed", *words[10:20], *words[21:]]
+    for apart in (0, 1, 25, 45, 80):
+        text, expected = ["x"], []
+        for copy in (words, words, edited, words, edited):
+            expected.append((len(text), len(text) + len(copy)))
+            text += copy + ["x"] * apart
+        items = decontam.Items([(5, " ".join(words))])
+        items.seed(np.array([*[5.0] * 30, 1000.0]), 10)
+        got = list(decontam.leaks(items, " ".join(text)))
+        assert [(s, e) for _, _, s, e in got] == expected
+        assert [x == 1 for _, x, _, _ in got] == [True, True, False, True, False]
+
+
 def test_decontamination_of_nasty_rows(spark, nasty, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "one two"), (2, "one two")], none.schema)
