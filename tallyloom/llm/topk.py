@@ -10,7 +10,9 @@ merged by score, ties to the smaller id.
 Work is queries x candidates, as the task is stated, but no task holds more than two blocks.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component, or one
-whose scaled value leaves the 32-bit range, take no part; an empty vector scores 0 with all;
+whose scaled value leaves the 64-bit range, take no part, nor do rows without an id; an empty
+vector scores 0 with all; where scores could leave the 64-bit range they are summed as Python
+integers, and one among a block's best that does leave it is an error, as it is in SQL;
 vectors of different length meet in their common dimensions; repeated rows are rows of their
 own, and a query skips the rows with its own id; with fewer than k candidates all are given;
 an empty table gives none.
@@ -29,18 +31,21 @@ K = 5
 SCALE = 256
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 1024
+#: Sums below it, as estimated in floating point, can't leave the 64-bit range.
+SAFE = float(1 << 62)
 
 
 def quantized(df: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(id, terms): floor(scale x) of each component, without vectors that take no part."""
     scaled = F.transform(F.col(f"`{vector}`"), lambda x: F.floor(F.lit(scale) * x.cast("double")))
     double = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
+    edge = float(1 << 63)
     usable = F.forall(
-        double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < F.lit(float(1 << 31)))
+        double, lambda x: x.isNotNull() & ~F.isnan(x) & (x * scale >= F.lit(-edge)) & (x * scale < F.lit(edge))
     )
     return (
         df.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(usable, F.lit(False)))
-        .select(F.col(f"`{id_col}`").cast("long").alias("id"), scaled.cast("array<int>").alias("terms"))
+        .select(F.col(f"`{id_col}`").cast("long").alias("id"), scaled.cast("array<long>").alias("terms"))
     )
 
 
@@ -82,14 +87,20 @@ def _search(k: int):
         if len(candidates) and len(queries):
             ids = candidates["id"].to_numpy(np.int64)
             lists = postings(list(candidates["terms"]))
+            largest = np.array([np.abs(w.astype(np.float64)).max(initial=0) for _, w in lists])
             for query, terms in zip(queries["id"], queries["terms"], strict=True):
-                scores = np.zeros(len(ids), np.int64)
-                for d in np.flatnonzero(terms[: len(lists)]):
+                shared = terms[: len(lists)]
+                wide = np.abs(shared.astype(np.float64)) @ largest[: len(shared)] >= SAFE
+                scores = np.zeros(len(ids), object if wide else np.int64)
+                for d in np.flatnonzero(shared):
                     slots, weights = lists[d]
-                    scores[slots] += int(terms[d]) * weights
+                    scores[slots] += int(terms[d]) * (weights.astype(object) if wide else weights)
                 others = ids != query
                 kept, score = (ids, scores) if others.all() else (ids[others], scores[others])
-                for slot in best(score, kept, k):
+                order = np.unique(score, return_inverse=True)[1] if wide else score
+                for slot in best(order, kept, k):
+                    if wide and not -(1 << 63) <= score[slot] < 1 << 63:
+                        raise OverflowError(f"score of {query} and {kept[slot]} leaves the 64-bit range")
                     rows.append((query, kept[slot], score[slot]))
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 

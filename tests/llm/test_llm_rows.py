@@ -65,6 +65,25 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    import duckdb
+
+    small = [(i, [float(i % 7) - 3, 0.25 * i]) for i in range(40)]
+    # 8388608 * 256 is 2 ** 31; with 150 the sums are estimated beyond the 64-bit range but fit
+    rows = [*small, (50, [8388608.0, 1.0]), (51, [-9e6, 2e6]), (52, [1e7, -1e7]), (100, [3e6, 3e6]), (150, [1e12, 1e12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = topk.quantized(df, "vec_id", "embedding")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows[:-1])
+    got = topk.top_k(q.where("id <> 150"), q.where("id % 50 = 0 AND id <> 150"), candidate_block=9, query_block=2)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(topk.ORACLE).fetchall())
+    assert {50, 51, 52} & {r.vec_id for r in got.collect()}
+    ids = {r.vec_id: r.score for r in topk.top_k(q.where("id IN (39, 52, 150)"), q.where("id = 150")).collect()}
+    v39 = [int(256 * x) for x in small[39][1]]
+    assert ids == {52: 0, 39: 256 * 10**12 * sum(v39)}
+
+
 def test_top_k_matches_sql(spark, sf_dir, con):
     assert compare(topk.op4_exact_topk(spark, sf_dir), con, topk.ORACLE) is None
 
