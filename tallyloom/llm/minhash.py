@@ -9,7 +9,9 @@ A document's set holds its distinct five-word shingles.
 2. Classes.  Documents with equal sets form one class; its smallest doc_id stands for it, so
    copies need no pairs.
 3. Bands.  Some compressed registers make a band, as many as let two sets at the threshold
-   share no band with a probability of at most ``MISSED`` (8 registers for 0.85: 2e-7).
+   share no band with a probability of at most ``MISSED`` = 1e-5.  At 0.85 these are 48 bands
+   of 8 registers, which miss a pair with 2.3e-7; at 0.80, 54 bands of 7, with 3.0e-6.  Nothing
+   later looks for a pair that no band shows.
 4. First pass.  In every band bucket each class is paired with the smallest class only, so a
    bucket of any size gives one pair a member.  The pairs' collision-corrected Jaccard
    estimates drop what is far below the threshold (six standard deviations), and the rest is

@@ -157,3 +157,11 @@ def test_multikey_order():
 
 def test_components_match_sql(spark, sf_dir, con):
     assert compare(minhash.op1_hyperminhash(spark, sf_dir), con, minhash.ORACLE) is None
+
+
+@pytest.mark.parametrize(("percent", "stated"), [(85, "2.3e-7"), (80, "3.0e-6")])
+def test_stated_chance_of_a_missed_pair(percent, stated):
+    rows = minhash.band_rows(percent)
+    chance = (1 - (percent / 100) ** rows) ** (minhash.BUCKETS // rows)
+    assert f"{chance:.1e}".replace("e-0", "e-") == stated and chance <= minhash.MISSED
+    assert stated in minhash.__doc__
