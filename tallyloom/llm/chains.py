@@ -2,6 +2,10 @@
 
 Sequences lie end to end in one array of emission values.  They are taken longest first, so
 that the sequences still running at a step are always the first ones.
+
+A long sequence can be taken in pieces side by side.  The product of a piece's steps tells
+what it makes of any state values, so the forward values that enter each piece and the
+backward values at its end are those of the whole sequence: the results don't depend on it.
 """
 
 from __future__ import annotations
@@ -10,18 +14,65 @@ import numpy as np
 
 
 class Chains:
-    """``emit``: (positions, states); ``lengths``: positions of each sequence, all at least 1."""
+    """``emit``: (positions, states); ``lengths``: positions of each sequence, all at least 1.
+
+    With ``piece`` longer sequences are taken in pieces of that length.
+    """
 
-    def __init__(self, emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray):
+    def __init__(
+        self, emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, piece: int | None = None
+    ):
         self.emit, self.trans, self.start = emit, trans, start
         lengths = np.asarray(lengths, np.int64)
+        whole = lengths
+        pieces = -(-whole // piece) if piece else np.ones_like(whole)
+        last = np.cumsum(pieces) - 1
+        if piece:
+            lengths = np.full(int(pieces.sum()), piece, np.int64)
+            lengths[last] = whole - (pieces - 1) * piece
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        later = np.ones(len(lengths), bool)
+        later[last - pieces + 1] = False
         order = np.argsort(-lengths, kind="stable")
-        self.first, self.sorted = first[order], lengths[order]
+        self.first, self.sorted, self.later = first[order], lengths[order], later[order]
         self.steps = int(lengths.max(initial=0))
         ended = np.bincount(lengths, minlength=self.steps + 1)
-        #: sequences longer than t, for each t
+        #: pieces longer than t, for each t
         self.running = len(lengths) - np.cumsum(ended)[: self.steps]
+        #: state values on entering each piece, and backward values at its end
+        self.enter = np.tile(start, (len(lengths), 1))
+        self.leave = np.ones((len(lengths), emit.shape[1]), emit.dtype)
+        if self.later.any():
+            self._carry(np.repeat(pieces > 1, pieces)[order], order)
+
+    def _carry(self, of_several: np.ndarray, order: np.ndarray) -> None:
+        """Values between the pieces, by the product of each piece's steps."""
+        at_rows = np.flatnonzero(of_several)
+        first, later = self.first[at_rows], self.later[at_rows]
+        running = np.searchsorted(-self.sorted[at_rows], -np.arange(self.steps), "left")
+        trans = self.trans.astype(np.float64)
+        k = len(trans)
+        product = np.where(later[:, None, None], trans, np.eye(k)) * self.emit[first][:, None, :]
+        for t in range(1, self.steps):
+            n = running[t]
+            if not n:
+                break
+            step = (product[:n].reshape(-1, k) @ trans).reshape(n, k, k) * self.emit[first[:n] + t][:, None, :]
+            product[:n] = step / step.sum(axis=(1, 2), keepdims=True)
+        in_order = np.argsort(order[at_rows]).tolist()
+        ends = {}
+        value = self.start
+        for i in in_order:
+            if later[i]:
+                self.enter[at_rows[i]] = value @ trans
+            else:
+                value = self.start
+            value = value @ product[i]
+            value = ends[i] = value / value.sum()
+        for i, before in zip(in_order[:0:-1], in_order[-2::-1], strict=True):
+            if later[i]:
+                back = product[i] @ self.leave[at_rows[i]]
+                self.leave[at_rows[before]] = back / (ends[before] @ back)
 
     def forward(self) -> tuple[np.ndarray, np.ndarray]:
         """Normalised forward values and their scales; the log scales sum to the likelihood."""
@@ -30,7 +81,7 @@ class Chains:
         for t in range(self.steps):
             n = self.running[t]
             at = self.first[:n] + t
-            a = self.start * self.emit[at] if t == 0 else (a[:n] @ self.trans) * self.emit[at]
+            a = self.enter * self.emit[at] if t == 0 else (a[:n] @ self.trans) * self.emit[at]
             c = a.sum(axis=1)
             a /= c[:, None]
             alpha[at], scale[at] = a, c
@@ -40,7 +91,7 @@ class Chains:
         """Posterior state values of every position, and expected transitions."""
         gamma = np.empty_like(alpha)
         moves = np.zeros_like(self.trans, dtype=np.float64)
-        b = np.ones((len(self.first), alpha.shape[1]), alpha.dtype)
+        b = self.leave.copy()
         for t in range(self.steps - 1, -1, -1):
             n = self.running[t]
             at = self.first[:n] + t
@@ -49,7 +100,10 @@ class Chains:
                 w = self.emit[at] * b[:n] / scale[at][:, None]
                 moves += alpha[at - 1].T @ w
                 b[:n] = w @ self.trans.T
+            elif self.later.any():
+                at, into = at[self.later], b[self.later]
+                moves += alpha[at - 1].T @ (self.emit[at] * into / scale[at][:, None])
         return gamma, moves * self.trans
 
     def starts(self) -> np.ndarray:
-        return self.first
+        return self.first[~self.later]

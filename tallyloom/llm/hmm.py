@@ -15,8 +15,12 @@ whatever its length.
 Counting: every task sums its words before the shuffle.  The most frequent words (at most
 ``TOP``, a bounded broadcast) are scored where the text is; all others go through a join with
 the full counts.  A Baum-Welch pass reads all training symbols; tasks send expected counts,
-which Spark sums, and the driver sees one bounded table of counts.  For training, symbols are
-cut into segments of ``SEGMENT``, each a sequence of its own; scoring never cuts.
+which Spark sums, and the driver sees one bounded table of counts.  Training and scoring take
+whole texts; pieces of ``PIECE`` symbols only let training go through a long text side by side,
+with the values of the whole text between them.
+
+Bounded whatever the input: WORDS + CLASSES symbols.  A word outside the most frequent WORDS
+has its own probability, but shares its states' emissions with its class.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is trained on;
 repeated rows are counted and scored each; an empty table gives none; without any training
@@ -41,7 +45,7 @@ ROUNDS = 5
 WORDS = 8192
 CLASSES = 512
 TOP = 200_000
-SEGMENT = 256
+PIECE = 1024
 #: Weight of the unigram masses in the states' emissions, and of uniform moves.
 PRIOR = 10.0
 END = b""
@@ -196,11 +200,8 @@ def encode(docs: DataFrame, symbols: Symbols) -> DataFrame:
     ).mapInArrow(run, ENCODED)
 
 
-def _blocks(batches, column: str, segment: int | None = None):
-    """(rows, symbols, lengths) of runs of whole rows of about ``BLOCK`` symbols.
-
-    With ``segment`` the sequences are cut into segments of that length at most.
-    """
+def _blocks(batches, column: str):
+    """(rows, symbols, lengths) of runs of whole rows of about ``BLOCK`` symbols."""
     for batch in batches:
         raw = batch.column(column).to_pylist()
         sizes = np.array([len(r) // 2 for r in raw], np.int64)
@@ -208,12 +209,7 @@ def _blocks(batches, column: str, segment: int | None = None):
         while begin < len(raw):
             end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), BLOCK, "right")))
             syms = np.frombuffer(b"".join(raw[begin:end]), np.uint16)
-            lengths = sizes[begin:end]
-            if segment:
-                lengths = np.array(
-                    [min(segment, n - i) for n in lengths.tolist() for i in range(0, n, segment)], np.int64
-                )
-            yield batch, begin, end, syms, lengths
+            yield batch, begin, end, syms, sizes[begin:end]
             begin = end
 
 
@@ -225,8 +221,8 @@ def expected_counts(encoded: DataFrame, model: dict) -> DataFrame:
         trans, start = model["trans"].astype(np.float32), model["start"].astype(np.float32)
         states, size = model["emission"].shape
         total = np.zeros(1 + states + states * states + states * size)
-        for _, _, _, syms, lengths in _blocks(batches, "symbols", SEGMENT):
-            chains = Chains(emission[syms], lengths, trans, start)
+        for _, _, _, syms, lengths in _blocks(batches, "symbols"):
+            chains = Chains(emission[syms], lengths, trans, start, PIECE)
             alpha, scale = chains.forward()
             gamma, moves = chains.backward(alpha, scale)
             total[0] += np.log10(scale.astype(np.float64)).sum()

@@ -49,6 +49,38 @@ def test_recursions_against_all_paths():
     assert np.allclose(moves, expected)
 
 
+def test_pieces_of_long_sequences_change_nothing():
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 23, 4, 5, 40, 8, 2, 17])
+    emit, trans, start = rng.random((100, 3)) ** 4, rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
+    whole = Chains(emit, lengths, trans, start)
+    alpha, scale = whole.forward()
+    gamma, moves = whole.backward(alpha, scale)
+    for piece in (1, 3, 4, 7, 16, 64):
+        cut = Chains(emit, lengths, trans, start, piece)
+        a, c = cut.forward()
+        g, m = cut.backward(a, c)
+        for got, expected in ((a, alpha), (c, scale), (g, gamma), (m, moves)):
+            assert np.allclose(got, expected)
+        assert sorted(cut.starts()) == sorted(whole.starts())
+
+
+def test_training_takes_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 6, n).astype(np.uint16) for n in (3, 700, 2500, 1024, 5000)]
+    rows = [(t.tobytes(), False) for t in texts] + [(texts[0].tobytes(), True)]
+    encoded = spark.createDataFrame(rows, "symbols binary, held_out boolean")
+    model = hmm.initial(np.full(6, 1 / 6), 2)
+    got = {r.cell: r.value for r in hmm.expected_counts(encoded, model).collect()}
+    syms, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    chains = Chains(model["emission"].T[syms], lengths, model["trans"], model["start"])
+    gamma, moves = chains.backward(*chains.forward())
+    expected = [np.log10(chains.forward()[1]).sum(), *gamma[chains.starts()].sum(axis=0), *moves.ravel()]
+    assert np.allclose([got[i] for i in range(7)], expected, rtol=1e-4)
+    assert sum(got[i] for i in (1, 2)) == pytest.approx(len(texts), rel=1e-4)
+    assert sum(got[i] for i in range(3, 7)) == pytest.approx(lengths.sum() - len(texts), rel=1e-4)
+
+
 def held(df):
     return F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
