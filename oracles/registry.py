@@ -371,6 +371,8 @@ def _plain_sql() -> dict[str, str]:
         "strata_sizes": """SELECT samp_strat AS stratum, count(DISTINCT hh_id) AS n_h
             FROM ind GROUP BY samp_strat""",
         "combined_indicators": _COMBINED,
+        "report_precomputed": _COMBINED,
+        "report_precomputed_for_group": _REPORT.format(_COMBINED) + " WHERE pop_groups = 'IDPs'",
         "combined_indicators_stratified": _COMBINED_STRATIFIED,
         "combined_for_group": _REPORT.format(_COMBINED) + " WHERE pop_groups = 'IDPs'",
         "combined_for_returnees": _REPORT.format(_COMBINED)

@@ -327,6 +327,24 @@ def _precomputed(spark: SparkSession, sf: str) -> DataFrame:
     return mean_table(design, "impact2_2", ["pop_groups"], "pop_groups IS NOT NULL")
 
 
+def _ready(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Files of ready indicators, read with a check that each column is there."""
+    out = {}
+    for grain, indicators in frames(spark, sf).items():
+        path = f"{shared_folder(spark)}/{uuid4().hex}"
+        files.write_parquet(indicators, path)
+        out[grain] = files.read_parquet(spark, path, indicators.schema)
+    return out
+
+
+def _report_precomputed(spark: SparkSession, sf: str) -> DataFrame:
+    return report.combined_indicators(PLAIN, _ready(spark, sf))
+
+
+def _precomputed_for_group(group: str) -> Query:
+    return lambda spark, sf: report.for_group(report.report_table(_report_precomputed(spark, sf)), group)
+
+
 def _combined(specs) -> Query:
     return lambda spark, sf: report.combined_indicators(specs, frames(spark, sf))
 
@@ -532,6 +550,8 @@ def _named() -> dict[str, Query]:
         "mean_number": _mean_number,
         "mean_clustered": _mean_clustered,
         "mean_precomputed": _precomputed,
+        "report_precomputed": _report_precomputed,
+        "report_precomputed_for_group": _precomputed_for_group("IDPs"),
         "total_rows": _total_rows,
         "total_answers": _total_answers,
         "total_number": _total_number,

@@ -140,3 +140,16 @@ def test_any_name_can_be_a_key_or_a_measure(spark):
     assert {r["age band"]: r["n"] for r in distribution(frame, "age band").collect()} == {"x": 20, "y": 20}
     shown = distribution(frame, "n", ["request"], count_name="times")
     assert shown.where("n IS NOT NULL").count() == 4
+
+
+def test_report_over_files_of_ready_indicators(spark, sf_dir):
+    from tallyloom.registry import QUERIES
+
+    for ready, direct in (
+        ("report_precomputed", "combined_indicators"),
+        ("report_precomputed_for_group", "combined_for_group"),
+    ):
+        got, expected = QUERIES[ready](spark, sf_dir), QUERIES[direct](spark, sf_dir)
+        assert got.columns == expected.columns
+        rows = sorted(map(repr, got.collect()))
+        assert rows and rows == sorted(map(repr, expected.collect()))
