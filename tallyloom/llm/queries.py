@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, chat, crf, decontam, hmm, minhash, secret_scan, sharding, suffix, topk
+from tallyloom.llm import bpe, chat, crf, decontam, hmm, minhash, pieces, secret_scan, sharding, suffix, topk
 
 QUERIES = {
     "op1_hyperminhash": minhash.op1_hyperminhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_bpe": bpe.op10_bpe,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
 }
 
 ORACLES = {
