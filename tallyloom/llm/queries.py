@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, chat, crf, decontam, hmm, minhash, pieces, secret_scan, sharding, suffix, topk
+from tallyloom.llm import bpe, chat, crf, decontam, hmm, lexical, minhash, pieces, secret_scan, sharding, suffix, topk
 
 QUERIES = {
     "op1_hyperminhash": minhash.op1_hyperminhash,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_bpe": bpe.op10_bpe,
     "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_ranked_search": lexical.op12_ranked_search,
 }
 
 ORACLES = {
     "op1_hyperminhash": minhash.ORACLE,
     "op4_exact_topk": topk.ORACLE,
     "op9_secret_scan": secret_scan.ORACLE,
+    "op12_ranked_search": lexical.ORACLE,
 }
