@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, chat, crf, decontam, hmm, lexical, minhash, pieces, secret_scan, sharding, suffix, topk
+from tallyloom.llm import alignment, bpe, chat, crf, decontam, hmm, lexical, minhash, pieces, secret_scan, sharding, suffix, topk
 
 QUERIES = {
     "op1_hyperminhash": minhash.op1_hyperminhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_ranked_search": lexical.op12_ranked_search,
+    "op13_cross_alignment": alignment.op13_cross_alignment,
 }
 
 ORACLES = {
