@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -54,7 +55,7 @@ def plain_groups(ta, tb):
         at, parts = 0, [[] for _ in cuts]
         for i, raw in side:
             at += len(raw)
-            parts[np.searchsorted(cuts, at)].append(i)
+            parts[bisect_left(cuts, at)].append(i)
         sides.append(parts)
     for xs, ys in zip(*sides, strict=True):
         out.append((xs, ys))
