@@ -250,7 +250,7 @@ _WRAPPED = {
     "Improved sanitation facility": "Improved sanitation\nfacility",
     "Safe disposal in situ of excreta": "Safe disposal in\nsitu of excreta",
     "Toilet is not shared with other households": (
-        "Toilet is not shared\nwith other\nhouseholds"
+        "Toilet is not\nshared with other\nhouseholds"
     ),
     "Health facility too far": "Health facility too\nfar",
     "Medicine or health facility too expensive": "Medicine or health\nfacility too\nexpensive",
@@ -258,7 +258,7 @@ _WRAPPED = {
     "Don't know where to go": "Don't know where to\ngo",
     "No time for it": "No time for it",
     "Prefer other options": "Prefer other options",
-    "Health facility does not accept new patients": "Health facility does\nnot accept new\npatients",
+    "Health facility does not accept new patients": "Health facility\ndoes not accept new\npatients",
     "Don't trust modern medicine": "Don't trust modern\nmedicine",
     "Don't trust doctors": "Don't trust doctors",
     "Administrative/documentation issues (certificates, service cards, etc.)": (
@@ -469,6 +469,10 @@ def _raw_sql() -> dict[str, str]:
         "label_lookup": f"""SELECT hh_id, CASE COOK02 {stove} END AS stove,
             CASE LIGHT02 {light} END AS lighting FROM main""",
         "csv_scan": _raw(HOUSEHOLDS, "main"),
+        "labels_with_files": """SELECT variable, level, count(*) AS n FROM (
+            SELECT 'SPF01b' AS variable, CASE SPF01b WHEN '1' THEN 'Yes' WHEN '0' THEN 'No' WHEN '98' THEN 'Not known' END AS level FROM main
+            UNION ALL SELECT 'GBV01a', CASE GBV01a WHEN '1' THEN 'Knows' WHEN '0' THEN 'Does not know' END FROM main)
+            WHERE level IS NOT NULL GROUP BY variable, level""",
         "csv_scan_reordered": _raw(HOUSEHOLDS, "main"),
         "labels_after_coercion": """SELECT 'SPF01b' AS variable,
             CASE SPF01b WHEN '1' THEN 'Yes' WHEN '0' THEN 'No' WHEN '98' THEN 'Don''t know' END AS level,
@@ -480,7 +484,13 @@ def _raw_sql() -> dict[str, str]:
     }
 
 
+_QUOTED = """SELECT c_custkey AS number, CAST(c_custkey AS DOUBLE) / 4 AS share,
+            CASE WHEN c_custkey % 7 = 0 THEN NULL
+            ELSE 'line one of ' || c_name || chr(10) || 'says "yes, no", ok' END AS remark,
+            CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS nation FROM customer"""
+
 ORACLES: dict[str, str] = {
+    "csv_scan_quoted": _QUOTED,
     **{name: with_frames(sql) for name, sql in _plain_sql().items()},
     **{name: with_frames(sql, recoded=False) for name, sql in _raw_sql().items()},
 }

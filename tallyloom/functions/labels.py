@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.codes import quoted
+from tallyloom.functions.codes import name, quoted
 
 
 def _lookup(pairs: Iterable[tuple[str, str]], key: str) -> str:
@@ -39,20 +39,32 @@ def attach_labels(
     frame: DataFrame, names: Mapping[str, str], values: Mapping[str, float]
 ) -> DataFrame:
     """Attach a variable label and common value labels to columns, as metadata."""
-    def labelled(name: str):
-        meta = {"label": names[name], "labels": dict(values)}
-        return F.col(f"`{name}`").alias(name, metadata=meta)
+    return label_columns(frame, {c: (names[c], dict(values)) for c in frame.columns if c in names})
 
-    return frame.select(*[labelled(c) if c in names else F.col(f"`{c}`") for c in frame.columns])
+
+def label_columns(
+    frame: DataFrame, labels: Mapping[str, tuple[str | None, Mapping[str, float]]]
+) -> DataFrame:
+    """Attach to each named column its variable label and its own value labels, as metadata."""
+
+    def labelled(column: str):
+        if column not in labels:
+            return F.col(name(column))
+        label, values = labels[column]
+        meta = {"label": label} if label is not None else {}
+        meta |= {"labels": {text: float(code) for text, code in values.items()}}
+        return F.col(name(column)).alias(column, metadata=meta)
+
+    return frame.select(*map(labelled, frame.columns))
 
 
-def read_labels(frame: DataFrame, name: str) -> tuple[str | None, dict[str, float]]:
+def read_labels(frame: DataFrame, column: str) -> tuple[str | None, dict[str, float]]:
     """Variable label and value labels of a column, from its metadata."""
-    meta = frame.schema[name].metadata or {}
+    meta = frame.schema[column].metadata or {}
     return meta.get("label"), dict(meta.get("labels", {}))
 
 
-def value_label(frame: DataFrame, name: str) -> str:
+def value_label(frame: DataFrame, column: str) -> str:
     """Label of a labelled column's value, from its metadata; NULL where it has none."""
-    _, values = read_labels(frame, name)
-    return _lookup(((f"{float(v)}D", quoted(text)) for text, v in values.items()), name)
+    _, values = read_labels(frame, column)
+    return _lookup(((f"{float(v)}D", quoted(text)) for text, v in values.items()), name(column))

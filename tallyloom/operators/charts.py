@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 from tallyloom.functions.codes import name as column_name
 from tallyloom.functions.labels import relabel
-from tallyloom.functions.text import percent_label, rounded_percent_label, wrap_words
+from tallyloom.functions.text import percent_label, rounded_percent_label, wrap_evenly
+from tallyloom.operators.once import over_records, positions
 
 
 def error_bars(means: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -39,22 +40,35 @@ def sorted_shares(
 ) -> DataFrame:
     """Shares with their display position and a percent label.
 
-    Categories are placed by their mean share over all groups, smallest first.
+    Categories are placed by their mean share over all groups, smallest first; equal means by
+    name, missing ones first.
     """
-    placed = shares.selectExpr("*", f"avg({value}) OVER (PARTITION BY {name}) AS mean_share")
-    return placed.selectExpr(
-        *by,
-        name,
-        value,
-        f"dense_rank() OVER (ORDER BY mean_share, {name}) AS position",
-        f"{percent_label(value, digits)} AS label",
+    keys = [f"k{i}" for i in range(len(by))]
+    inner = [f"{column_name(c)} AS {k}" for c, k in zip(by, keys)]
+    rows = shares.selectExpr(*inner, f"{column_name(name)} AS category", f"{column_name(value)} AS share")
+    rows = rows.selectExpr("*", "avg(share) OVER (PARTITION BY category) AS mean_share")
+    placed = positions("categories", ["mean_share", "category"], "position")
+    kept = "".join(f"s.{k}, " for k in keys)
+    out = over_records(
+        rows,
+        f""", categories AS (SELECT mean_share, category FROM s GROUP BY mean_share, category){placed}
+SELECT {kept}s.category, s.share, p.position FROM s JOIN placed p ON s.category <=> p.category""",
+    )
+    return out.selectExpr(
+        *[f"{k} AS {column_name(c)}" for c, k in zip(by, keys)],
+        f"category AS {column_name(name)}",
+        f"share AS {column_name(value)}",
+        "position",
+        f"{percent_label('share', digits)} AS label",
     )
 
 
 def axis_limits(frame: DataFrame, column: str) -> DataFrame:
     """Distinct values of a category axis with their position."""
-    values = frame.select(column).where(f"{column} IS NOT NULL").distinct()
-    return values.selectExpr(column, f"row_number() OVER (ORDER BY {column}) AS position")
+    values = frame.selectExpr(f"{column_name(column)} AS category").where("category IS NOT NULL").distinct()
+    placed = positions("s", ["category"], "position")
+    out = over_records(values, f"{placed} SELECT category, position FROM placed")
+    return out.withColumnRenamed("category", column)
 
 
 def component_bars(
@@ -71,14 +85,14 @@ def component_bars(
 
     Labels have a fixed number of digits (``33.0%``), or the fewest (``33%``) with ``shortest``.
     """
-    shown = relabel(name, labels)
+    shown = relabel(column_name(name), labels)
     percent = rounded_percent_label if shortest else percent_label
     return shares.selectExpr(
-        *by,
-        f"{shown} AS {name}",
-        f"{wrap_words(shown, width)} AS axis_label",
-        value,
-        f"{percent(value, digits)} AS label",
+        *map(column_name, by),
+        f"{shown} AS {column_name(name)}",
+        f"{wrap_evenly(shown, width)} AS axis_label",
+        column_name(value),
+        f"{percent(column_name(value), digits)} AS label",
     )
 
 
@@ -86,6 +100,6 @@ def contrast_labels(shares: DataFrame, value: str, above: float = 15) -> DataFra
     """Percent labels with a text colour that stays readable on the bar."""
     return shares.selectExpr(
         "*",
-        f"{rounded_percent_label(value)} AS label",
-        f"CASE WHEN {value} > {above} THEN 'white' ELSE 'black' END AS label_color",
+        f"{rounded_percent_label(column_name(value))} AS label",
+        f"CASE WHEN {column_name(value)} > {above} THEN 'white' ELSE 'black' END AS label_color",
     )

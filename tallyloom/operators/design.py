@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ class SurveyDesign:
     weight zero.  ``lonely`` says what a stratum with a single sampling unit
     does: ``"fail"`` stops the query, ``"zero"`` adds no variance.
 
+    ``deferred`` maps a column that is missing everywhere unless some row of the table meets a
+    condition to its values row by row and the flag of that condition.  Estimates then take both
+    from their own pass over the rows, and the whole table is ``frame``.
+
     Filtering rows of ``frame`` changes the design.  To study a part of the
     sample pass ``where`` to the estimator, which keeps the stratum sizes.
     """
@@ -29,6 +34,7 @@ class SurveyDesign:
     strata: str | None = None
     psu: str | None = None
     lonely: str = "fail"
+    deferred: Mapping[str, tuple[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.lonely not in ("fail", "zero"):

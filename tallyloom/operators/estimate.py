@@ -134,9 +134,11 @@ class _Pass:
         self.wheres = _distinct(r.where for r in self.requests)
         self.weights = _distinct(r.weight for r in self.requests)
         self.measures = _distinct((r.measure, r.weight) for r in self.requests)
-        self.shared = len({(r.where, r.by) for r in self.requests}) == 1 and not design.psu
+        self.shared = len({(r.where, r.by) for r in self.requests}) == 1
         self.strata = ["stratum"] if design.strata else []
         self.unit = ["psu"] if design.psu else []
+        #: conditions that some row of the whole table must meet, or a measure is missing everywhere
+        self.present = _distinct(design.deferred[m.column][1] for m, _ in self.measures if m.column in design.deferred)
 
     def _sums(self) -> DataFrame:
         """One record per combination of keys, domain flags, stratum (and unit)."""
@@ -153,10 +155,12 @@ class _Pass:
         columns = _distinct(m.column for m, _ in self.measures)
         values = {c: f"y{i}" for i, c in enumerate(columns)}
         weights = {w: f"u{i}" for i, w in enumerate(self.weights) if w is not None}
-        named = {y: f"CAST({column_name(c)} AS DOUBLE)" for c, y in values.items()}
+        source = {c: d.deferred[c][0] if c in d.deferred else c for c in columns}
+        named = {y: f"CAST({column_name(source[c])} AS DOUBLE)" for c, y in values.items()}
+        named |= {f"q{i}": column_name(c) for i, c in enumerate(self.present)}
         named |= {u: column_name(w) for w, u in weights.items()}
         rows = d.frame.selectExpr(*[f"{text} AS {n}" for n, text in (named | group).items()])
-        sums = ["count(1) AS n"]
+        sums = ["count(1) AS n", *[f"count_if(q{i}) AS q{i}" for i in range(len(self.present))]]
         for i, w in enumerate(self.weights):
             if w is not None:
                 u = weights[w]
@@ -180,68 +184,64 @@ class _Pass:
     def _inside(self, where: str | None) -> str:
         return "true" if where is None else f"in{self.wheres.index(where)}"
 
-    def _shared_strata(self) -> DataFrame:
-        """Records per request, group and stratum when all requests share their domain."""
-        over = "PARTITION BY stratum" if self.strata else ""
-        inside = self._inside(self.wheres[0])
-        order = ", ".join([f"NOT {inside}", *self.keys])
-        first = f"row_number() OVER ({over} ORDER BY {order}) = 1"
-        sized = self._sums().selectExpr(
-            "*", f"sum(n) OVER ({over}) AS n_h", f"CAST({first} AS INT) AS strata"
-        )
-        cells = ", ".join(_struct(self._cell(i, r)) for i, r in enumerate(self.requests))
-        return sized.where(inside).selectExpr(
-            *self.keys,
-            *self.strata,
-            *["n", "n AS units", "n_h", "strata"],
-            f"inline(array({cells}))",
-        )
+    def _units(self, sums: DataFrame) -> DataFrame:
+        """Records of a sampling unit side by side, the first one carrying what is counted once a unit.
+
+        One shuffle by stratum and unit; all that follows up to the sums per stratum stays in place.
+        """
+        unit = ", ".join([*self.strata, "psu"])
+        first = f"row_number() OVER (PARTITION BY {unit} ORDER BY {', '.join(self.keys) or 'n'}) = 1"
+        held = [f"max({self._inside(w)}) OVER (PARTITION BY {unit}) AS held{i}" for i, w in enumerate(self.wheres)]
+        return sums.repartition(*[F.col(c) for c in [*self.strata, "psu"]]).selectExpr("*", f"{first} AS first", *held)
 
-    def _mixed_cells(self) -> DataFrame:
-        """Records per request and cell, and (request -1) all rows for the stratum sizes."""
-        sums = self._sums()
+    def _cells(self) -> DataFrame:
+        """Records per request and cell of rows inside its domain, and (request -1) the sizes of strata.
+
+        ``size`` counts sampling units, ``size0``, ``size1``, .. those inside each domain.
+        """
+        sums = self._units(self._sums()) if self.unit else self._sums()
         types = {k: t for k, t in sums.dtypes if k in self.keys}
         none = {k: f"CAST(NULL AS {t})" for k, t in types.items()}
+        if self.unit:
+            sizes = {"size": "CAST(first AS BIGINT)"}
+            sizes |= {f"size{i}": f"CAST(first AND held{i} AS BIGINT)" for i in range(len(self.wheres))}
+        else:
+            sizes = {"size": "n"}
+            sizes |= {f"size{i}": f"CASE WHEN {self._inside(w)} THEN n ELSE 0L END" for i, w in enumerate(self.wheres)}
+        sizes |= {f"q{i}": f"q{i}" for i in range(len(self.present))}
+        no_sizes = {x: "0L" for x in sizes}
         zero = {x: "0D" for x in ["w", "ww", "a", "b", "c", "e", "g"]}
-        cells = [_struct({"inside": "true", "n": "n", **none, "request": "-1", **zero})]
+        cells = [_struct({"inside": "true", "n": "0L", **none, "request": "-1", **zero, **sizes})]
         for i, r in enumerate(self.requests):
             keys = {k: k if c in r.by else none[k] for k, c in zip(self.keys, self.by)}
-            fields = {"inside": self._inside(r.where), "n": "n", **keys, **self._cell(i, r)}
+            fields = {"inside": self._inside(r.where), "n": "n", **keys, **self._cell(i, r), **no_sizes}
             cells.append(_struct(fields))
-        exploded = sums.selectExpr(
-            *self.strata, *self.unit, f"inline(array({', '.join(cells)}))"
-        )
-        return exploded.where("inside").drop("inside")
-
-    def _mixed_strata(self) -> DataFrame:
-        """Records per request, group and stratum when requests differ in their domain."""
+        out = sums.selectExpr(*self.strata, *self.unit, f"inline(array({', '.join(cells)}))")
+        return out.where("inside").drop("inside")
+
+    def _strata_records(self) -> DataFrame:
+        """Cells summed per request, group and stratum, unless they are unique already."""
+        cells = self._cells()
+        if self.shared and not self.unit:
+            return cells
+        counted = [c for c in cells.columns if c == "size" or c.startswith("size") or c[0] == "q" and c[1:].isdigit()]
         group = ["request", *self.keys, *self.strata]
-        cells = self._mixed_cells()
-        if not self.unit:
-            names = ["n", "w", "ww", "a", "b", "c", "e", "g"]
-            sums = [f"sum({x}) AS {x}" for x in names]
-            strata = _aggregate(cells, group, [*sums, "sum(n) AS units"])
-        else:
-            names = ["n", "w", "a", "b"]
-            units = _aggregate(cells, [*group, "psu"], [f"sum({x}) AS {x}" for x in names])
-            unit = ", ".join(["request", *self.strata, "psu"])
-            order = ", ".join(self.keys) or "psu"
-            units = units.selectExpr(
-                "*", f"row_number() OVER (PARTITION BY {unit} ORDER BY {order}) = 1 AS first"
-            )
+        names = ["n", "w", "ww", "a", "b", "c", "e", "g"]
+        if self.unit:
+            added = [f"sum({x}) AS {x}" for x in ["n", "w", "a", "b", *counted]]
+            # within the partitioning by stratum and unit
+            cells = _aggregate(cells, [*group, "psu"], added)
             products = {"ww": "w * w", "c": "a * a", "e": "a * b", "g": "b * b"}
-            sums = [f"sum({x}) AS {x}" for x in names]
-            sums += [f"sum({text}) AS {x}" for x, text in products.items()]
-            strata = _aggregate(units, group, [*sums, "count_if(first) AS units"])
-        over = "PARTITION BY stratum" if self.strata else ""
-        peers = ", ".join([*self.strata, "request"])
-        order = ", ".join(self.keys) or "request"
-        first = f"row_number() OVER (PARTITION BY {peers} ORDER BY {order}) = 1"
-        size = "sum(CASE WHEN request = -1 THEN units END)"
-        sized = strata.selectExpr(
-            "*", f"{size} OVER ({over}) AS n_h", f"CAST({first} AS INT) AS strata"
-        )
-        return sized.where("request >= 0")
+            return _aggregate(cells, group, [f"sum({products.get(x, x)}) AS {x}" for x in [*names, *counted]])
+        return _aggregate(cells, group, [f"sum({x}) AS {x}" for x in [*names, *counted]])
+
+    def _known(self) -> str:
+        """Whether a request's measure is there at all: some row of the table meets its condition."""
+        known = []
+        for r in self.requests:
+            there = self.design.deferred.get(r.measure.column)
+            known.append(f"total_q{self.present.index(there[1])} > 0" if there else "true")
+        return _choice(known)
 
     def _spread(self, xy: str, x: str, y: str) -> str:
         """Between-unit (co)variance of the stratum totals x and y."""
@@ -254,25 +254,65 @@ class _Pass:
 
     def groups(self) -> DataFrame:
         """One record per request and group: totals, their (co)variances and df."""
-        strata = self._shared_strata() if self.shared else self._mixed_strata()
+        records = self._strata_records()
         spread = {
             "v_w": self._spread("ww", "w", "w"),
             "v_a": self._spread("c", "a", "a"),
             "c_ab": self._spread("e", "a", "b"),
             "v_b": self._spread("g", "b", "b"),
         }
-        sums = {x: x for x in ["n", "w", "a", "b", "units"]} | spread
-        named = [f"{text} AS {x}" for x, text in sums.items() if text != x]
-        out = strata.selectExpr("*", *named)
+        spread_fields = [f"{text} AS {x}" for x, text in spread.items()]
+        domains = [f"size{i}" for i in range(len(self.wheres))]
+        present = [f"q{i}" for i in range(len(self.present))]
         if self.strata:
-            totals = [f"sum({x}) AS {x}" for x in [*sums, "strata"]]
-            out = _aggregate(out, ["request", *self.keys], totals)
-        return out.selectExpr(
-            "request",
-            *self.keys,
-            *["n", "w", "v_w", "a", "v_a", "b", "v_b", "c_ab"],
-            "sum(units - strata) OVER (PARTITION BY request) AS df",
-        )
+            over = "OVER (PARTITION BY stratum)"
+            sized = [f"sum({x}) {over} AS {x}" for x in ["size", *domains]]
+            first = f"row_number() OVER (PARTITION BY stratum ORDER BY {', '.join(['request', *self.keys])}) = 1 AS first"
+            kept = [c for c in records.columns if c not in ("size", *domains)]
+            records = records.selectExpr(*kept, *sized, first).withColumnRenamed("size", "n_h")
+            # one record of a stratum stands for its degrees of freedom
+            totals = {x: f"CASE WHEN first THEN {x} - CAST({x} > 0 AS BIGINT) ELSE 0L END" for x in domains}
+            totals |= {x: x for x in present}
+            # sizes alone are no reason to stop at a stratum of a single unit
+            inside = [f"CASE WHEN request < 0 THEN 0D ELSE {text} END AS {x}" for x, text in spread.items()]
+            records = records.selectExpr("*", *inside)
+            out = _with_totals(records, self.keys, ["n", "w", "a", "b", *spread], totals)
+            df = _choice([f"total_size{self.wheres.index(r.where)}" for r in self.requests])
+        else:
+            totals = {x: x for x in ["size", *domains, *present]}
+            out = _with_totals(records, self.keys, ["n", "w", "ww", "a", "b", "c", "e", "g"], totals)
+            out = out.withColumnRenamed("total_size", "n_h").selectExpr("*", *spread_fields)
+            df = _choice([f"total_size{self.wheres.index(r.where)} - 1" for r in self.requests])
+        measured = ["a", "v_a", "b", "v_b", "c_ab"]
+        if present:
+            known = self._known()
+            measured = [f"CASE WHEN {known} THEN {x} ELSE 0D END AS {x}" for x in measured]
+        return out.selectExpr("request", *self.keys, *["n", "w", "v_w"], *measured, f"{df} AS df")
+
+
+#: Copies of the totals, each beside a part of the groups.
+BUCKETS = 16
+
+
+def _with_totals(records: DataFrame, keys: Sequence[str], sums: Sequence[str], totals: dict[str, str]) -> DataFrame:
+    """Records summed by request and keys; every group also gets the totals of the records of request -1.
+
+    Totals are dealt to every bucket of groups by the shuffle that sums them, so no task holds all
+    groups and the records are read once.
+    """
+    types = dict(records.dtypes)
+    none = {k: f"CAST(NULL AS {types[k]})" for k in keys}
+    zero = {x: f"CAST(0 AS {types[x]})" for x in sums}
+    total = _struct({"bucket": "x", "request": "-1", **none, **zero, **{f"total_{x}": t for x, t in totals.items()}})
+    bucket = f"CAST(pmod(hash({', '.join(['request', *keys])}), {BUCKETS}) AS INT)"
+    nothing = {f"total_{x}": "0L" for x in totals}
+    own = _struct({"bucket": bucket, "request": "request", **{k: k for k in keys}, **{x: x for x in sums}, **nothing})
+    copies = f"transform(sequence(0, {BUCKETS - 1}), x -> {total})"
+    dealt = records.selectExpr(f"inline(CASE WHEN request < 0 THEN {copies} ELSE array({own}) END)")
+    named = [f"total_{x}" for x in totals]
+    out = _aggregate(dealt, ["bucket", "request", *keys], [f"sum({x}) AS {x}" for x in [*sums, *named]])
+    whole = [f"sum({x}) OVER (PARTITION BY bucket) AS {x}" for x in named]
+    return out.selectExpr("request", *keys, *sums, *whole).where("request >= 0")
 
 
 def _root(variance: str, size: str) -> str:

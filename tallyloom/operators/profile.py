@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.codes import name, num, quoted
 from tallyloom.functions.labels import code_label, number_label, relabel
+from tallyloom.operators.once import over_records
 
 
 def _share(value: str, weight: str | None) -> str:
@@ -85,21 +86,25 @@ def distribution(
     With ``label_first`` codes without a label are dropped before counting;
     otherwise they are counted and end up with a missing label.
     """
-    keys = [name(c) for c in by]
-    code = F.expr(number_label(name(column), labels)) if label_first else F.col(name(column))
-    rows = frame.select(*keys, code.alias("__code"))
+    keys = [f"k{i}" for i in range(len(by))]
+    code = number_label(name(column), labels) if label_first else name(column)
+    rows = frame.selectExpr(*[f"{name(c)} AS {k}" for c, k in zip(by, keys)], f"{code} AS code")
     if skip_missing:
-        rows = rows.where("__code IS NOT NULL")
-    counts = rows.groupBy(*keys, "__code").agg(F.count(F.lit(1)).alias("__n"))
-    group = f"PARTITION BY {', '.join(keys)}" if by else ""
-    shown = "__code"
+        rows = rows.where("code IS NOT NULL")
+    counts = rows.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n"))
+    if by:
+        # totals of groups lie where their records do
+        counts = counts.selectExpr("*", f"sum(n) OVER (PARTITION BY {', '.join(keys)}) AS total")
+    else:
+        counts = over_records(counts, "SELECT code, n, (SELECT sum(n) FROM s) AS total FROM s")
+    shown = "code"
     if labels is not None and not label_first:
         shown = number_label(shown, labels)
     return counts.selectExpr(
-        *keys,
+        *[f"{k} AS {name(c)}" for c, k in zip(by, keys)],
         f"{shown} AS {name(column)}",
-        f"__n AS {name(count_name)}",
-        f"__n / sum(__n) OVER ({group}) * 100 AS {name(share_name)}",
+        f"n AS {name(count_name)}",
+        f"n / total * 100 AS {name(share_name)}",
     )
 
 
@@ -141,9 +146,9 @@ def two_way_frequency(
 ) -> DataFrame:
     """Counts of two columns against each other, one output column per listed value."""
     counts = (
-        frame.where(F.col(row).isNotNull() & F.col(column).isNotNull())
-        .groupBy(row)
-        .pivot(column, list(values))
+        frame.where(F.col(name(row)).isNotNull() & F.col(name(column)).isNotNull())
+        .groupBy(name(row))
+        .pivot(name(column), list(values))
         .agg(F.count(F.lit(1)))
     )
     return counts.na.fill(0, list(values))
@@ -152,9 +157,9 @@ def two_way_frequency(
 def column_types(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spark type of columns and how many rows have a value, one row per column."""
     types = dict(frame.dtypes)
-    counts = frame.agg(*[F.count(c).alias(c) for c in columns])
+    counts = frame.agg(*[F.count(name(c)).alias(f"n{i}") for i, c in enumerate(columns)])
     cells = ", ".join(
-        f"struct({quoted(c)} AS variable, {quoted(types[c])} AS type, {c} AS n)" for c in columns
+        f"struct({quoted(c)} AS variable, {quoted(types[c])} AS type, n{i} AS n)" for i, c in enumerate(columns)
     )
     return counts.selectExpr(f"inline(array({cells}))")
 
@@ -167,47 +172,43 @@ def sample_description(
     One row per numeric column and one per level of a categorical column;
     missing answers are counted beside it and left out of the shares.
     """
-    none = "CAST(NULL AS {})"
-    sums = []
-    for c in numeric:
-        sums += [f"count({c}) AS n_{c}", f"count_if({c} IS NULL) AS missing_{c}"]
-        sums += [f"avg({c}) AS mean_{c}", f"stddev_samp({c}) AS sd_{c}"]
-    fields = ["n", "missing", "mean", "sd"]
-    structs = []
-    for c in numeric:
-        cells = ", ".join(f"{x}_{c} AS {x}" for x in fields)
-        structs.append(f"struct({quoted(c)} AS variable, {cells})")
-    numbers = (
-        frame.agg(*[F.expr(s) for s in sums])
-        .selectExpr(f"inline(array({', '.join(structs)}))")
-        .selectExpr(
-            "variable",
-            none.format("STRING") + " AS level",
-            *fields,
-            none.format("DOUBLE") + " AS percent",
-        )
+    columns = [*numeric, *categorical]
+    known = [f"struct({i} AS place, CAST({name(c)} AS DOUBLE) AS number, CAST(NULL AS STRING) AS text)" for i, c in enumerate(numeric)]
+    known += [
+        f"struct({i} AS place, CAST(NULL AS DOUBLE) AS number, CAST({name(c)} AS STRING) AS text)"
+        for i, c in enumerate(categorical, start=len(numeric))
+    ]
+    answers = frame.selectExpr(f"inline(array({', '.join(known)}))")
+    # one record per column and level, and one with the moments of each numeric column
+    records = answers.groupBy("place", "text").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("number").alias("n"),
+        F.avg("number").alias("mean"),
+        F.stddev_samp("number").alias("sd"),
+    )
+    whole = over_records(
+        records,
+        """, known AS (SELECT place, sum(CASE WHEN text IS NULL THEN rows ELSE 0 END) AS missing,
+    sum(CASE WHEN text IS NOT NULL THEN rows END) AS answered FROM s GROUP BY place)
+SELECT s.*, known.missing AS missing, known.answered FROM s JOIN known ON s.place = known.place""",
+    )
+    last = len(numeric)
+    return whole.where(f"place < {last} OR text IS NOT NULL").selectExpr(
+        f"get(array({', '.join(quoted(c) for c in columns)}), place) AS variable",
+        "text AS level",
+        f"CASE WHEN place < {last} THEN n ELSE rows END AS n",
+        f"CASE WHEN place < {last} THEN rows - n ELSE missing END AS missing",
+        "mean",
+        "sd",
+        f"CASE WHEN place >= {last} THEN rows / answered * 100 END AS percent",
     )
-    counts = frequencies(frame, categorical, skip_missing=False)
-    known = "sum(CASE WHEN level IS NOT NULL THEN n END) OVER (PARTITION BY variable)"
-    missing = "sum(CASE WHEN level IS NULL THEN n ELSE 0 END) OVER (PARTITION BY variable)"
-    levels = counts.selectExpr(
-        "variable",
-        "level",
-        "n",
-        f"{missing} AS missing",
-        none.format("DOUBLE") + " AS mean",
-        none.format("DOUBLE") + " AS sd",
-        f"n / {known} * 100 AS percent",
-    ).where("level IS NOT NULL")
-    return numbers.unionByName(levels)
 
 
 def headline_counts(frame: DataFrame, total: str, conditions: Mapping[str, str]) -> DataFrame:
     """Number of rows, and of rows meeting each condition, as ``(name, n)``."""
-    sums = [F.expr(f"count(1) AS {total}")]
-    sums += [F.expr(f"count_if({text}) AS {label}") for label, text in conditions.items()]
-    names = [total, *conditions]
-    pairs = ", ".join(f"struct({quoted(x)} AS name, {x} AS n)" for x in names)
+    sums = [F.expr("count(1) AS n0")]
+    sums += [F.expr(f"count_if({text}) AS n{i}") for i, text in enumerate(conditions.values(), start=1)]
+    pairs = ", ".join(f"struct({quoted(x)} AS name, n{i} AS n)" for i, x in enumerate([total, *conditions]))
     return frame.agg(*sums).selectExpr(f"inline(array({pairs}))")
 
 

@@ -24,6 +24,7 @@ from tallyloom.operators.estimate import (
 )
 from tallyloom.operators.profile import component_shares, distribution
 from tallyloom.plans import codebook as book
+from tallyloom.plans.rules import deferred
 
 HOUSEHOLD = "household"
 PERSON = "person"
@@ -367,7 +368,7 @@ def run(spec: Spec, frames: Mapping[str, DataFrame]) -> DataFrame:
     frame = frames[spec.grain]
     if isinstance(spec, Estimate):
         t = spec.table
-        design = SurveyDesign(frame, t.weight, spec.strata)
+        design = SurveyDesign(frame, t.weight, spec.strata, deferred=deferred(frame))
         if isinstance(t, MeanTable):
             return mean_tables(design, [t]).drop("table")
         return ratio_table(

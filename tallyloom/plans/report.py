@@ -11,6 +11,7 @@ from tallyloom.operators.design import SurveyDesign
 from tallyloom.operators.estimate import indicator_tables, union_tables
 from tallyloom.operators.profile import headline_counts
 from tallyloom.plans.catalogue import CORE, HOUSEHOLD, PERSON, Estimate, Spec
+from tallyloom.plans.rules import deferred
 
 REPORT_NAMES = {
     "var_name": "Core Indicator",
@@ -23,7 +24,10 @@ REPORT_NAMES = {
 def estimates(
     specs: Mapping[str, Spec], frames: Mapping[str, DataFrame], names: list[str]
 ) -> DataFrame:
-    """Several tables of means and ratios stacked, with one pass per table and sampling."""
+    """Several tables of means and ratios stacked, with one pass per table and sampling.
+
+    ``frames`` are whole recoded tables; a part of the sample is a table's ``where``.
+    """
     chosen = [specs[n] for n in names if n in specs]
     passes: dict[tuple[str, str | None], list] = {}
     for spec in chosen:
@@ -31,7 +35,7 @@ def estimates(
             raise TypeError("only tables of means and ratios can be stacked")
         passes.setdefault((spec.grain, spec.strata), []).append(spec.table)
     parts = [
-        indicator_tables(SurveyDesign(frames[grain], strata=strata), tables)
+        indicator_tables(SurveyDesign(frames[grain], strata=strata, deferred=deferred(frames[grain])), tables)
         for (grain, strata), tables in passes.items()
     ]
     return union_tables(parts)

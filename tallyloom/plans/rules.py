@@ -237,20 +237,32 @@ def household_composites(o: RuleOptions) -> list[Rules]:
     ]
 
 
+#: Columns missing everywhere unless a row of the table meets a condition: their values row by
+#: row and that condition.  Estimates over the whole table take both from their own pass.
+WHOLE_TABLE = {"outcome4_1": ("outcome4_1_row", "gbv_other_answer")}
+
+
 def with_gbv_knowledge(frame: DataFrame, o: RuleOptions = DEFAULTS) -> DataFrame:
     """Add outcome4_1: missing only if every service is unknown.
 
     By default that is asked of the whole table, so it can only be missing for
-    everybody; the check is an EXISTS that stops at the first other answer.
+    everybody; the check is an EXISTS that stops at the first other answer.  The two columns of
+    ``WHOLE_TABLE`` let an estimate do without it.
     """
     unknown = all_match(GBV_ITEMS, 98)
     knows = any_one(["GBV01a", "GBV01b"])
     if o.gbv_row_wise:
         rule = f"CASE WHEN {knows} THEN 1D WHEN {unknown} THEN NULL ELSE 0D END"
         return _project(frame, {"outcome4_1": rule})
-    other_answer = frame.selectExpr(*GBV_ITEMS).where(f"NOT coalesce({unknown}, false)")
-    rule = F.when(F.expr(knows), 1.0).when(other_answer.exists(), 0.0)
-    return frame.withColumn("outcome4_1", rule)
+    other = f"NOT coalesce({unknown}, false)"
+    rule = F.when(F.expr(knows), 1.0).when(frame.selectExpr(*GBV_ITEMS).where(other).exists(), 0.0)
+    row, flag = WHOLE_TABLE["outcome4_1"]
+    return _project(frame, {row: f"CASE WHEN {knows} THEN 1D ELSE 0D END", flag: other}).withColumn("outcome4_1", rule)
+
+
+def deferred(frame: DataFrame) -> dict[str, tuple[str, str]]:
+    """The entries of ``WHOLE_TABLE`` whose columns a whole recoded table has."""
+    return {c: parts for c, parts in WHOLE_TABLE.items() if {c, *parts} <= set(frame.columns)}
 
 
 def household_indicators(frame: DataFrame, options: RuleOptions = DEFAULTS) -> DataFrame:

@@ -7,17 +7,19 @@ from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tallyloom.functions.codes import num
 from tallyloom.functions.labels import (
     attach_labels,
     code_label,
+    label_columns,
     number_label,
     number_order,
     relabel,
     value_label,
 )
-from tallyloom.functions.text import wrap_words
+from tallyloom.functions.text import wrap_evenly
 from tallyloom.operators import charts
 from tallyloom.operators.design import SurveyDesign
 from tallyloom.operators.estimate import mean_table, ratio_table, total_table
@@ -242,7 +244,7 @@ def _factor_recode(spark: SparkSession, sf: str) -> DataFrame:
 def _relabel_wrap(spark: SparkSession, sf: str) -> DataFrame:
     shares = run(STRATIFIED["hacc_percentages"], frames(spark, sf)).select("Reason")
     shown = relabel("Reason", {"No time": "No time for it"})
-    return shares.distinct().selectExpr("Reason", f"{wrap_words(shown, 20)} AS axis_label")
+    return shares.distinct().selectExpr("Reason", f"{wrap_evenly(shown, 20)} AS axis_label")
 
 
 def _value_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,6 +504,42 @@ def _csv_scan_reordered(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_csv(spark, path, HOUSEHOLDS)
 
 
+QUOTED = StructType(
+    [
+        StructField("number", LongType()),
+        StructField("share", DoubleType()),
+        StructField("remark", StringType()),
+        StructField("nation", LongType()),
+    ]
+)
+
+
+def _csv_scan_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """Remarks of several lines with quotes and commas, both signs of a missing cell, whole numbers with a point."""
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    raw = customers.selectExpr(
+        "concat(CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN '.0' ELSE '' END) AS number",
+        "CASE WHEN c_custkey % 7 = 0 THEN 'NA' ELSE concat('line one of ', c_name, '\\nsays \"yes, no\", ok') END AS remark",
+        "CASE c_custkey % 5 WHEN 0 THEN if(c_custkey % 2 = 0, 'NA', NULL) ELSE CAST(c_nationkey AS STRING) END AS nation",
+        "CAST(c_custkey / 4 AS STRING) AS share",
+    )
+    files.write_csv(raw, path)
+    return files.read_csv(spark, path, QUOTED)
+
+
+def _labels_with_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels written beside CSV, read with it, kept by coercion, and used to decode."""
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    labels = {
+        "SPF01b": ("Receives cash", {"Yes": 1.0, "No": 0.0, "Not known": 98.0}),
+        "GBV01a": ("Knows a health service", {"Knows": 1.0, "Does not know": 0.0}),
+    }
+    files.write_csv(label_columns(households(spark, sf), labels), path, labels=True)
+    read = numeric_answers(files.read_csv(spark, path, HOUSEHOLDS, labels=True))
+    return frequencies(read.selectExpr(*[f"{value_label(read, c)} AS {c}" for c in labels]), list(labels))
+
+
 def _parquet_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid4().hex}"
     files.write_parquet(persons(spark, sf), path)
@@ -597,6 +635,8 @@ def _named() -> dict[str, Query]:
         "plot_axis_limits": _axis,
         "csv_scan": _csv_scan,
         "csv_scan_reordered": _csv_scan_reordered,
+        "csv_scan_quoted": _csv_scan_quoted,
+        "labels_with_files": _labels_with_files,
         "parquet_scan": _parquet_scan,
         "export_combined": _export_combined,
         "export_by_group": _export_by_group,
