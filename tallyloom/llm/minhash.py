@@ -16,9 +16,13 @@ A document's set holds its distinct five-word shingles.
    bucket of any size gives one pair a member.  The pairs' collision-corrected Jaccard
    estimates drop what is far below the threshold (six standard deviations), and the rest is
    confirmed on full sets.  The links form components.
-5. Second pass.  Pairs of one bucket that are still in different components are all checked in
-   the same way, so no link between different components is lost.  Pairs within a component
-   can't change it.  Sizes too unequal to reach the threshold never form a pair.
+5. Second pass.  What is left are members of buckets that hold several components.  They are
+   indexed by their rarest shingles: two sets of n and m shingles at the threshold share one of
+   the rarest n - ceil(0.85 n) + 1 of the one and m - ceil(0.85 m) + 1 of the other, so only
+   members that share such a shingle form a pair, and documents that have a passage in common
+   but little else form none.  The pairs are checked in the same way, so no link between
+   different components is lost.  Pairs within a component can't change it.  Sizes too unequal
+   to reach the threshold never form a pair.
 
 Components come from the distributed exchange of smallest labels with shortcuts.
 
@@ -36,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,6 +245,17 @@ class Links:
             .select("a", "b", "na", "nb")
         )
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(id, items): full sets of classes, made from the texts again."""
+        wanted = wanted.join(self.heads.select("class", "print", F.col("head").alias("doc_id")), "class")
+        return (
+            self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .join(wanted.hint("shuffle_hash"), "doc_id")
+            .select("class", "print", "text")
+            .mapInArrow(_sets, "id long, items binary")
+            .dropDuplicates(["id"])
+        )
+
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are links, by full sets made from the texts again."""
         pairs = self.scratch.save(self.likely(pairs), f"{name}-likely")
@@ -249,15 +264,7 @@ class Links:
         if not n:
             return self.scratch.save(pairs.select("a", "b"), name)
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        wanted = wanted.join(self.heads.select("class", "print", F.col("head").alias("doc_id")), "class")
-        items = (
-            self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(wanted.hint("shuffle_hash"), "doc_id")
-            .select("class", "print", "text")
-            .mapInArrow(_sets, "id long, items binary")
-            .dropDuplicates(["id"])
-        )
-        items = self.scratch.save(items, f"{name}-sets")
+        items = self.scratch.save(self.sets(wanted), f"{name}-sets")
         links = (
             pairs.join(items.toDF("b", "ib"), "b")
             .join(items.toDF("a", "ia"), "a")
@@ -270,6 +277,40 @@ class Links:
         return links
 
 
+def _items(batches):
+    """(id, n, item) rows of sets given as bytes."""
+    for batch in batches:
+        ids, sets = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        item = np.frombuffer(b"".join(sets), np.int64)
+        # in pieces, as a set may be large
+        id_, n = np.repeat(ids, sizes), np.repeat(sizes, sizes)
+        for low in range(0, len(item), 100_000):
+            part = [pa.array(x[low : low + 100_000], pa.int64()) for x in (id_, n, item)]
+            yield pa.RecordBatch.from_arrays(part, ["id", "n", "item"])
+
+
+def rare_pairs(sets: DataFrame, root: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b, of different roots whose sets (id, items) can reach the threshold.
+
+    Items are ordered by the number of sets that hold them.  Of a set of n items only the first
+    n - ceil(percent n / 100) + 1 are looked at; two sets without one of these in common have too
+    few items in common.  Items of a single set take places in that order and need no rows.
+    """
+    items = scratch.save(sets.mapInArrow(_items, "id long, n long, item long"), "left-items")
+    shared = items.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
+    order = Window.partitionBy("id").orderBy("held", "item")
+    places = items.join(shared, "item").select(
+        "id", "n", "item", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("id")).alias("known")
+    )
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = places.where(F.col("place") + F.col("n") - F.col("known") <= first).select("id", "n", "item")
+    prefix = scratch.save(prefix.join(root, "id").select("id", "n", "item", "root"), "rare")
+    a, b = prefix.toDF("a", "na", "item", "ra"), prefix.toDF("b", "nb", "item", "rb")
+    near = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent))
+    return near.select("a", "b").distinct()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) of every id in edges (a, b): the smallest id reachable.
 
@@ -350,16 +391,10 @@ def cluster(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = N
         "band", "id", "n", F.coalesce("root", "id").alias("root")
     )
     mixed_buckets = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    left = scratch.save(tagged.join(mixed_buckets.select("band"), "band", "left_semi"), "left")
-    other = left.toDF("band", "b", "nb", "rb")
-    cross = (
-        left.toDF("band", "a", "na", "ra")
-        .join(other, "band")
-        .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent))
-        .select("a", "b")
-        .distinct()
-        .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    left = tagged.join(mixed_buckets.select("band"), "band", "left_semi").select("id", "root").distinct()
+    left = scratch.save(left, "left")
+    sets = links.sets(left.select(F.col("id").alias("class")))
+    cross = rare_pairs(sets, left, percent, scratch).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = links.confirmed(cross, "second")
     edges = found.union(more)
     # documents of a class, and classes of a repeated doc_id, are linked as well

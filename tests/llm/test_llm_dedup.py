@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from check_oracles import compare
 
 from tallyloom.llm import minhash, suffix
+from tallyloom.llm.common import Scratch
 
 
 def shingle_set(text):
@@ -165,3 +167,58 @@ def test_stated_chance_of_a_missed_pair(percent, stated):
     chance = (1 - (percent / 100) ** rows) ** (minhash.BUCKETS // rows)
     assert f"{chance:.1e}".replace("e-0", "e-") == stated and chance <= minhash.MISSED
     assert stated in minhash.__doc__
+
+
+def passage(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join("".join(r.choices("abcdefg", k=r.randint(3, 8))) for _ in range(n))
+
+
+def looked_at(monkeypatch, docs):
+    """Pairs that each pass estimates, and the rows of the result."""
+    made = []
+    before = minhash.Links.likely
+
+    def likely(self, pairs):
+        made.append(pairs.count())
+        return before(self, pairs)
+
+    monkeypatch.setattr(minhash.Links, "likely", likely)
+    rows = minhash.cluster(docs).collect()
+    monkeypatch.setattr(minhash.Links, "likely", before)
+    return made, rows
+
+
+def test_documents_that_share_a_passage_form_few_pairs(monkeypatch, spark):
+    """Two thirds in common, no link: pairs grow no faster than documents."""
+    shared = passage(900, 100)
+    found = {}
+    for count in (200, 400):
+        texts = [(i, f"{passage(1000 + i, 25)} {shared} {passage(5000 + i, 25)}") for i in range(count)]
+        made, rows = looked_at(monkeypatch, spark.createDataFrame(texts, "doc_id long, text string"))
+        assert all(r.kept for r in rows) and len(rows) == count
+        found[count] = made
+    assert found[400][1] <= 2 * max(1, found[200][1]) and sum(found[400]) <= 48 * 400
+
+
+def test_rare_pairs_hold_every_link(spark, tmp_path):
+    """Against all pairs, with sets around the threshold and items in many sets."""
+    r = random.Random(8)
+    common = r.sample(range(1, 10**6), 60)
+    sets = {}
+    for i in range(80):
+        if i % 4:
+            base = list(sets[r.randrange(i // 4 * 4)] if i >= 4 else common)
+            gone = set(r.sample(base, r.randint(0, len(base) // 5)))
+            sets[i] = set(base) - gone | set(r.sample(range(1, 10**6), r.randint(0, 9)))
+        else:
+            sets[i] = set(common[: r.randint(10, 60)]) | set(r.sample(range(1, 10**6), r.randint(1, 20)))
+    frame = spark.createDataFrame(
+        [(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()], "id long, items binary"
+    )
+    root = spark.createDataFrame([(i, i) for i in sets], "id long, root long")
+    got = {tuple(x) for x in minhash.rare_pairs(frame, root, 85, Scratch(spark)).collect()}
+    want = {
+        (i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    }
+    assert want and want <= got and len(got) < 80 * 79 / 2
