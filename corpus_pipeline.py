@@ -2,10 +2,19 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the
 documents that it keeps, the last one with their token ids.
+
+Defined results, for every stage: a null or empty text is a document as any other, without secrets
+and tokens; repeated rows go through each for itself, but a doc_id goes or stays as a whole where
+near-duplicates are told; a null doc_id is kept by that stage; an empty table gives none; columns
+beside those of ``documents`` go through whatever their names, except that the last stage leaves
+out one with the name of a result; without ``n_chars`` none is made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +22,32 @@ from tallyloom.llm import bpe, crf, decontam, minhash, secret_scan
 from tallyloom.llm.common import Scratch, table
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Stage) -> Stage:
+    """The stage with all further columns under names of their own while it works."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"_further{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        made = stage(spark, docs.withColumnsRenamed(names), sf_dir)
+        back = {own: c for c, own in names.items()}
+        hidden = [own for own, c in back.items() if c in made.columns]
+        return made.drop(*hidden).withColumnsRenamed({own: c for own, c in back.items() if own not in hidden})
+
+    return run
+
+
+@apart
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below one half."""
     model = crf.toxicity_model(docs, table(spark, sf_dir, "labels"))
     return crf.apply_model(docs, model, docs.columns).where("score < 0.5").drop("score")
 
 
+@apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id.
 
@@ -29,11 +58,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@apart
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in the place of each secret; n_chars follows."""
     versions = secret_scan.versions_of(docs, "doc_id", "text")
@@ -45,12 +76,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = marked.withColumn(
         "_new", F.when(hit, secret_scan.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     )
-    marked = marked.withColumn(
-        "n_chars", F.when(hit, F.length("_new").cast("long")).otherwise(F.col("n_chars"))
-    )
+    if "n_chars" in docs.columns:
+        size = F.when(hit, F.length("_new").cast("long")).otherwise(F.col("n_chars"))
+        marked = marked.withColumn("n_chars", size)
     return marked.withColumn("text", F.col("_new")).select(*docs.columns)
 
 
+@apart
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids (little-endian unsigned 32-bit) and digests."""
     return bpe.encode(docs, bpe.word_vocabulary(), docs.columns, with_ids=True)
