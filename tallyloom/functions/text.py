@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def percent_label(value: str, digits: int = 1) -> str:
     """Fixed number of digits and a percent sign, e.g. ``12.0%``."""
-    return f"format_string('%.{digits}f%%', round({value}, {digits}))"
+    return f"CASE WHEN {value} IS NOT NULL THEN format_string('%.{digits}f%%', round({value}, {digits})) END"
 
 
 def rounded_percent_label(value: str, digits: int = 1) -> str:

@@ -31,7 +31,7 @@ def facets(means: DataFrame, x: str, fill: str, facet: Sequence[str]) -> DataFra
         f"{column_name(x)} AS x",
         f"{column_name(fill)} AS fill",
         "mean_value AS y",
-        "format_string('%.2f', round(mean_value, 2)) AS label",
+        "CASE WHEN mean_value IS NOT NULL THEN format_string('%.2f', round(mean_value, 2)) END AS label",
     )
 
 
