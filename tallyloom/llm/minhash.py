@@ -19,7 +19,7 @@ A document's set holds its distinct five-word shingles.
 5. Second pass.  What is left are members of buckets that hold several components.  They are
    indexed by their rarest shingles: two sets of n and m shingles at the threshold share one of
    the rarest n - ceil(0.85 n) + 1 of the one and m - ceil(0.85 m) + 1 of the other, so only
-   members that share such a shingle form a pair, and documents that have a passage in common
+   members that share such a shingle and a band form a pair, and documents that have a passage in common
    but little else form none.  The pairs are checked in the same way, so no link between
    different components is lost.  Pairs within a component can't change it.  Sizes too unequal
    to reach the threshold never form a pair.
@@ -290,8 +290,11 @@ def _items(batches):
             yield pa.RecordBatch.from_arrays(part, ["id", "n", "item"])
 
 
-def rare_pairs(sets: DataFrame, root: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b, of different roots whose sets (id, items) can reach the threshold.
+def rare_pairs(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b, of different roots that share a band and whose sets (id, items) can reach the threshold.
+
+    ``left`` holds (id, root, bands); bands are compared by 15 bits each, which lets some more pairs
+    through and keeps rows short.
 
     Items are ordered by the number of sets that hold them.  Of a set of n items only the first
     n - ceil(percent n / 100) + 1 are looked at; two sets without one of these in common have too
@@ -305,9 +308,11 @@ def rare_pairs(sets: DataFrame, root: DataFrame, percent: int, scratch: Scratch)
     )
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = places.where(F.col("place") + F.col("n") - F.col("known") <= first).select("id", "n", "item")
-    prefix = scratch.save(prefix.join(root, "id").select("id", "n", "item", "root"), "rare")
-    a, b = prefix.toDF("a", "na", "item", "ra"), prefix.toDF("b", "nb", "item", "rb")
-    near = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent))
+    short = F.transform("bands", lambda x: F.pmod(x, F.lit(1 << 15)).cast("short")).alias("bands")
+    prefix = scratch.save(prefix.join(left.select("id", "root", short), "id").select("id", "n", "item", "root", "bands"), "rare")
+    a, b = prefix.toDF("a", "na", "item", "ra", "sa"), prefix.toDF("b", "nb", "item", "rb", "sb")
+    band = F.exists(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)
+    near = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent) & band)
     return near.select("a", "b").distinct()
 
 
@@ -392,7 +397,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = N
     )
     mixed_buckets = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     left = tagged.join(mixed_buckets.select("band"), "band", "left_semi").select("id", "root").distinct()
-    left = scratch.save(left, "left")
+    left = scratch.save(left.join(classes.select(F.col("class").alias("id"), "bands"), "id"), "left")
     sets = links.sets(left.select(F.col("id").alias("class")))
     cross = rare_pairs(sets, left, percent, scratch).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = links.confirmed(cross, "second")

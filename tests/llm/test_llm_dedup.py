@@ -216,7 +216,7 @@ def test_rare_pairs_hold_every_link(spark, tmp_path):
     frame = spark.createDataFrame(
         [(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()], "id long, items binary"
     )
-    root = spark.createDataFrame([(i, i) for i in sets], "id long, root long")
+    root = spark.createDataFrame([(i, i, [i, 7]) for i in sets], "id long, root long, bands array<long>")
     got = {tuple(x) for x in minhash.rare_pairs(frame, root, 85, Scratch(spark)).collect()}
     want = {
         (i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
