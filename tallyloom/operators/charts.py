@@ -46,12 +46,11 @@ def sorted_shares(
     keys = [f"k{i}" for i in range(len(by))]
     inner = [f"{column_name(c)} AS {k}" for c, k in zip(by, keys)]
     rows = shares.selectExpr(*inner, f"{column_name(name)} AS category", f"{column_name(value)} AS share")
-    rows = rows.selectExpr("*", "avg(share) OVER (PARTITION BY category) AS mean_share")
     placed = positions("categories", ["mean_share", "category"], "position")
     kept = "".join(f"s.{k}, " for k in keys)
     out = over_records(
         rows,
-        f""", categories AS (SELECT mean_share, category FROM s GROUP BY mean_share, category){placed}
+        f""", categories AS (SELECT avg(share) AS mean_share, category FROM s GROUP BY category){placed}
 SELECT {kept}s.category, s.share, p.position FROM s JOIN placed p ON s.category <=> p.category""",
     )
     return out.selectExpr(
