@@ -12,17 +12,20 @@ A document's set holds its distinct five-word shingles.
    share no band with a probability of at most ``MISSED`` = 1e-5.  At 0.85 these are 48 bands
    of 8 registers, which miss a pair with 2.3e-7; at 0.80, 54 bands of 7, with 3.0e-6.  Nothing
    later looks for a pair that no band shows.
-4. First pass.  In every band bucket each class is paired with the smallest class only, so a
-   bucket of any size gives one pair a member.  The pairs' collision-corrected Jaccard
-   estimates drop what is far below the threshold (six standard deviations), and the rest is
-   confirmed on full sets.  The links form components.
+4. First pass.  In every band bucket each class is paired with one leader only, so a bucket of
+   any size gives one pair a member.  The leader is the class that shares most buckets with
+   others, which in a group of edited copies is the text they come from.  The pairs'
+   collision-corrected Jaccard estimates drop what is far below the threshold (six standard
+   deviations), and the rest is confirmed on full sets.  The links form components.
 5. Second pass.  What is left are members of buckets that hold several components.  They are
    indexed by their rarest shingles: two sets of n and m shingles at the threshold share one of
-   the rarest n - ceil(0.85 n) + 1 of the one and m - ceil(0.85 m) + 1 of the other, so only
-   members that share such a shingle and a band form a pair, and documents that have a passage in common
-   but little else form none.  The pairs are checked in the same way, so no link between
-   different components is lost.  Pairs within a component can't change it.  Sizes too unequal
-   to reach the threshold never form a pair.
+   the rarest n - ceil(0.85 n) + 1 of the one and m - ceil(0.85 m) + 1 of the other, and after
+   the first that they share enough must be left in both to reach the threshold.  Only members
+   of different components that share such a shingle and a band form a pair; documents that
+   have a passage in common but little else form none, nor do edited copies of one text whose
+   own shingles alone keep them below the threshold.  The pairs are checked in the same way, so
+   no link between different components is lost.  Pairs within a component can't change it.
+   Sizes too unequal to reach the threshold never form a pair.
 
 Components come from the distributed exchange of smallest labels with shortcuts.
 
@@ -278,16 +281,16 @@ class Links:
 
 
 def _items(batches):
-    """(id, n, item) rows of sets given as bytes."""
+    """(id, root, n, item) rows of sets given as bytes."""
     for batch in batches:
-        ids, sets = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        ids, roots, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
         sizes = np.array([len(x) // 8 for x in sets], np.int64)
         item = np.frombuffer(b"".join(sets), np.int64)
         # in pieces, as a set may be large
-        id_, n = np.repeat(ids, sizes), np.repeat(sizes, sizes)
+        id_, root, n = np.repeat(ids, sizes), np.repeat(roots, sizes), np.repeat(sizes, sizes)
         for low in range(0, len(item), 100_000):
-            part = [pa.array(x[low : low + 100_000], pa.int64()) for x in (id_, n, item)]
-            yield pa.RecordBatch.from_arrays(part, ["id", "n", "item"])
+            part = [pa.array(x[low : low + 100_000], pa.int64()) for x in (id_, root, n, item)]
+            yield pa.RecordBatch.from_arrays(part, ["id", "root", "n", "item"])
 
 
 def rare_pairs(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -296,23 +299,32 @@ def rare_pairs(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch)
     ``left`` holds (id, root, bands); bands are compared by 15 bits each, which lets some more pairs
     through and keeps rows short.
 
-    Items are ordered by the number of sets that hold them.  Of a set of n items only the first
+    Items held under one root only can't be shared with another root; they come first, and all
+    others after them by the number of sets that hold them.  Of a set of n items only the first
     n - ceil(percent n / 100) + 1 are looked at; two sets without one of these in common have too
-    few items in common.  Items of a single set take places in that order and need no rows.
+    few items in common.  The first that two sets share stands at places i and j, so they share
+    1 + min(na - i, nb - j) items at most, which has to reach the threshold as well.  Items of
+    one root take places in that order and need no rows.
     """
-    items = scratch.save(sets.mapInArrow(_items, "id long, n long, item long"), "left-items")
-    shared = items.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
+    rooted = sets.join(left.select("id", "root"), "id").select("id", "root", "items")
+    items = scratch.save(rooted.mapInArrow(_items, "id long, root long, n long, item long"), "left-items")
+    shared = items.groupBy("item").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     order = Window.partitionBy("id").orderBy("held", "item")
-    places = items.join(shared, "item").select(
+    places = items.join(shared.where("lo <> hi").select("item", "held"), "item").select(
         "id", "n", "item", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("id")).alias("known")
     )
+    place = (F.col("place") + F.col("n") - F.col("known")).alias("place")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = places.where(F.col("place") + F.col("n") - F.col("known") <= first).select("id", "n", "item")
+    prefix = places.select("id", "n", "item", place).where(F.col("place") <= first)
     short = F.transform("bands", lambda x: F.pmod(x, F.lit(1 << 15)).cast("short")).alias("bands")
-    prefix = scratch.save(prefix.join(left.select("id", "root", short), "id").select("id", "n", "item", "root", "bands"), "rare")
-    a, b = prefix.toDF("a", "na", "item", "ra", "sa"), prefix.toDF("b", "nb", "item", "rb", "sb")
+    prefix = scratch.save(
+        prefix.join(left.select("id", "root", short), "id").select("id", "n", "item", "place", "root", "bands"), "rare"
+    )
+    a, b = prefix.toDF("a", "na", "item", "ia", "ra", "sa"), prefix.toDF("b", "nb", "item", "ib", "rb", "sb")
     band = F.exists(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)
-    near = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent) & band)
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
+    enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    near = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(percent) & enough & band)
     return near.select("a", "b").distinct()
 
 
@@ -380,26 +392,34 @@ def cluster(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = N
     links = Links(docs, heads, classes, scratch, percent)
 
     keyed = classes.select("class", "n", F.explode("bands").alias("band"))
-    least = keyed.groupBy("band").agg(F.min("class").alias("a"), F.count("*").alias("size"))
-    crowded = scratch.save(
-        keyed.join(least.where("size > 1"), "band").withColumnRenamed("class", "b"), "crowded"
-    )
-    sizes = classes.select(F.col("class").alias("a"), F.col("n").alias("na"))
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = scratch.save(keyed.join(sizes, "band"), "crowded")
+    # the text that others were edited from shares the most, whatever its doc_id
+    weight = crowded.groupBy("class").agg(F.sum("size").alias("weight"))
+    leads = F.max(F.struct("weight", -F.col("class"), "class", "n")).alias("lead")
+    leaders = crowded.join(weight, "class").groupBy("band").agg(leads)
+    leaders = leaders.select("band", F.col("lead.class").alias("lead"), F.col("lead.n").alias("na"))
     pairs = (
-        crowded.where("a <> b").groupBy("a", "b").agg(F.first("n").alias("nb")).join(sizes, "a").where(_fits(percent))
+        crowded.select("band", F.col("class").alias("b"), F.col("n").alias("nb"))
+        .join(leaders, "band")
+        .where("lead <> b")
+        .groupBy(F.col("lead").alias("a"), "b")
+        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+        .where(_fits(percent))
     )
     found = links.confirmed(pairs, "first")
     root = components(found, scratch)
 
     # what is left of each bucket: members by their components
-    tagged = crowded.select("band", F.col("b").alias("id"), "n").join(root, "id", "left").select(
-        "band", "id", "n", F.coalesce("root", "id").alias("root")
+    tagged = crowded.select("band", F.col("class").alias("id")).join(root, "id", "left").select(
+        "band", "id", F.coalesce("root", "id").alias("root")
     )
     mixed_buckets = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     left = tagged.join(mixed_buckets.select("band"), "band", "left_semi").select("id", "root").distinct()
     left = scratch.save(left.join(classes.select(F.col("class").alias("id"), "bands"), "id"), "left")
     sets = links.sets(left.select(F.col("id").alias("class")))
-    cross = rare_pairs(sets, left, percent, scratch).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = rare_pairs(sets, left, percent, scratch).join(seen, ["a", "b"], "left_anti")
     more = links.confirmed(cross, "second")
     edges = found.union(more)
     # documents of a class, and classes of a repeated doc_id, are linked as well

@@ -201,6 +201,25 @@ def test_documents_that_share_a_passage_form_few_pairs(monkeypatch, spark):
     assert found[400][1] <= 2 * max(1, found[200][1]) and sum(found[400]) <= 48 * 400
 
 
+@pytest.mark.parametrize("first", [0, 10_000])
+def test_edited_copies_below_the_threshold_form_few_pairs(monkeypatch, spark, first):
+    """Copies with one to four edits, wherever their text's doc_id stands: pairs grow as documents do."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(first, " ".join(base))]
+    for i in range(1, 401):
+        text = base[:]
+        for at in r.sample(range(150), 1 + i % 4):
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(text)))
+    found = {}
+    for count in (201, 401):
+        made, got = looked_at(monkeypatch, spark.createDataFrame(rows[:count], "doc_id long, text string"))
+        assert {x.doc_id: x.component_id for x in got} == brute_components(rows[:count])
+        found[count] = made
+    assert sum(found[401]) <= 2.5 * sum(found[201]) and sum(found[401]) <= 8 * 401
+
+
 def test_rare_pairs_hold_every_link(spark, tmp_path):
     """Against all pairs, with sets around the threshold and items in many sets."""
     r = random.Random(8)
