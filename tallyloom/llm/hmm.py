@@ -222,15 +222,16 @@ def expected_counts(encoded: DataFrame, model: dict) -> DataFrame:
         states, size = model["emission"].shape
         total = np.zeros(1 + states + states * states + states * size)
         for _, _, _, syms, lengths in _blocks(batches, "symbols"):
-            chains = Chains(emission[syms], lengths, trans, start, PIECE)
-            alpha, scale = chains.forward()
-            gamma, moves = chains.backward(alpha, scale)
+            chains = Chains(emission, lengths, trans, start, PIECE, syms)
+            alpha, scale = chains.forward_steps()
+            gamma, moves = chains.backward_steps(alpha, scale)
+            syms = syms[chains.at]
             total[0] += np.log10(scale.astype(np.float64)).sum()
-            total[1 : 1 + states] += gamma[chains.starts()].sum(axis=0)
+            total[1 : 1 + states] += gamma[:, np.flatnonzero(~chains.later)].sum(axis=1)
             total[1 + states : 1 + states + states * states] += moves.ravel()
             at = 1 + states + states * states
             for s in range(states):
-                total[at : at + size] += np.bincount(syms, weights=gamma[:, s], minlength=size)
+                total[at : at + size] += np.bincount(syms, weights=gamma[s], minlength=size)
                 at += size
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -289,8 +290,8 @@ def gains(encoded: DataFrame, model: dict, mass: np.ndarray) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for _, begin, end, syms, lengths in _blocks([batch], "symbols"):
-                _, scale = Chains(emission[syms], lengths, model["trans"], model["start"]).forward()
-                each = np.log10(scale) - log_mass[syms]
+                chains = Chains(emission, lengths, model["trans"], model["start"], symbols=syms)
+                each = np.log10(chains.by_position(chains.forward_steps()[1])) - log_mass[syms]
                 out[begin:end] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
             names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own"]
             yield pa.RecordBatch.from_arrays(

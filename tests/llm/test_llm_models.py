@@ -65,6 +65,23 @@ def test_pieces_of_long_sequences_change_nothing():
         assert sorted(cut.starts()) == sorted(whole.starts())
 
 
+def test_recursions_by_steps_work_on_slices():
+    """Symbols instead of emission values give the same, and no step copies positions by index."""
+    rng = np.random.default_rng(5)
+    lengths = np.array([3, 9, 1, 30, 7])
+    table, trans, start = rng.random((6, 8)), rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.ones(8))
+    syms = rng.integers(0, 6, lengths.sum()).astype(np.uint16)
+    for piece in (None, 4):
+        plain, coded = Chains(table[syms], lengths, trans, start, piece), Chains(table, lengths, trans, start, piece, syms)
+        alpha, scale = plain.forward()
+        gamma, moves = plain.backward(alpha, scale)
+        a, c = coded.forward_steps()
+        g, m = coded.backward_steps(a, c)
+        assert a.shape == (8, len(syms)) and (np.sort(coded.at) == np.arange(len(syms))).all()
+        for got, expected in ((coded.by_position(a.T), alpha), (coded.by_position(c), scale), (coded.by_position(g.T), gamma), (m, moves)):
+            assert np.allclose(got, expected, rtol=1e-12)
+
+
 def test_training_takes_whole_texts(spark):
     rng = np.random.default_rng(3)
     texts = [rng.integers(0, 6, n).astype(np.uint16) for n in (3, 700, 2500, 1024, 5000)]
