@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,15 @@ def combined_indicators(
     return estimates(specs, frames, CORE)
 
 
+def columns_taken(specs: Mapping[str, Spec], grain: str) -> set[str]:
+    """Every name in the combined table's specifications of one base table, its columns among them."""
+    texts = []
+    for spec in (specs[n] for n in CORE if n in specs and specs[n].grain == grain):
+        for value in (spec.strata, *vars(spec.table).values()):
+            texts += [value] if isinstance(value, str) else filter(None, value if isinstance(value, (list, tuple)) else ())
+    return set(re.findall(r"\w+", " ".join(texts)))
+
+
 def indicators_by_stratum(
     specs: Mapping[str, Spec], frames: Mapping[str, DataFrame]
 ) -> DataFrame:

@@ -330,9 +330,11 @@ def _precomputed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ready(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Files of ready indicators, read with a check that each column is there."""
+    """Files of the report's ready indicators, read with a check that each column is there."""
     out = {}
-    for grain, indicators in frames(spark, sf).items():
+    for grain, frame in frames(spark, sf).items():
+        taken = report.columns_taken(PLAIN, grain)
+        indicators = frame.select(*[c for c in frame.columns if c in taken])
         path = f"{shared_folder(spark)}/{uuid4().hex}"
         files.write_parquet(indicators, path)
         out[grain] = files.read_parquet(spark, path, indicators.schema)

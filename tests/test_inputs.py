@@ -153,3 +153,11 @@ def test_report_over_files_of_ready_indicators(spark, sf_dir):
         assert got.columns == expected.columns
         rows = sorted(map(repr, got.collect()))
         assert rows and rows == sorted(map(repr, expected.collect()))
+
+
+def test_ready_indicators_are_saved_without_the_columns_no_report_takes(spark, sf_dir):
+    from tallyloom import registry
+
+    for grain, frame in registry._ready(spark, sf_dir).items():
+        whole = registry.frames(spark, sf_dir)[grain]
+        assert "pop_groups" in frame.columns and len(frame.columns) < len(whole.columns) / 3
